@@ -6,6 +6,8 @@ compared with a role's whole alias list by substring search in one joined text,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def _matches(name: Column, style: str, aliases: dict[str, list[str]]) -> Column:
         exact = F.contains(listed, F.concat(F.lit("|"), name, F.lit("|")))
         match = exact
         if style == "fuzzy":
-            match = F.contains(listed, name) | name.rlike("|".join(plain))
+            match = F.contains(listed, name) | reduce(lambda a, b: a | b, [F.contains(name, F.lit(p)) for p in plain])
         found.append(F.when(match, F.struct(F.lit(role).alias("role"), exact.alias("exact"))))
     return F.array_compact(F.array(*found))
 
@@ -48,11 +50,11 @@ def detect_roles(columns_df: DataFrame, mode: str = "fuzzy") -> DataFrame:
     """
     style, aliases = ("fuzzy", domain.ROLE_ALIASES) if mode == "fuzzy" else ("strict", domain.EXACT_ROLE_ALIASES)
     named = columns_df.select("table", "position", "column", normalize_name("column", style).alias("name"))
-    named = named.where((F.col("name") != "") & (F.size(_matches(F.col("name"), style, aliases)) > 0))
+    named = named.where(F.col("name") != "")
     if mode == "exact":
         # among columns that normalise alike the last spelling stands, at the place of the first
-        named = named.groupBy("table", "name").agg(
-            F.max_by("column", "position").alias("column"), F.min("position").alias("position"))
+        named = named.where(F.size(_matches(F.col("name"), style, aliases)) > 0).groupBy("table", "name").agg(
+            F.max(F.struct("position", "column"))["column"].alias("column"), F.min("position").alias("position"))
     matched = named.select("table", "position", "column", F.inline(_matches(F.col("name"), style, aliases)))
     best = F.min(F.struct((~F.col("exact")).alias("partial"), "position", "column"))
     return matched.groupBy("table", "role").agg(best.alias("best")).select(
