@@ -20,6 +20,11 @@ def accounts(spark: SparkSession, sf: str) -> DataFrame:
     return typed_accounts(raw_accounts(spark, sf))
 
 
+def uploaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The telecom table as stored data, for jobs of several passes."""
+    return views.stored_accounts(spark, sf).drop("k", "pts")
+
+
 def stable(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles whose last digits depend on the order of summation, rounded for display."""
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
@@ -36,4 +41,4 @@ BAND = """case when tenure <= -1 then null when tenure <= 12 then '0–12 months
 TIER = """case when probability < 15e-2 then 'LOW' when probability < 33e-2 then 'MEDIUM'
   when probability < 6e-1 then 'HIGH' when probability is not null then 'CRITICAL' end"""
 
-__all__ = ["BAND", "CHARGES", "RATE", "TIER", "TYPED", "accounts", "raw_accounts", "stable", "table", "views"]
+__all__ = ["BAND", "CHARGES", "RATE", "TIER", "TYPED", "accounts", "raw_accounts", "stable", "table", "uploaded", "views"]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import over, query
-from catalog.common import TYPED, accounts, raw_accounts, stable, table, views
+from catalog.common import TYPED, raw_accounts, stable, table, uploaded, views
 from keepwell import domain
 from keepwell.operators import profiling, roles
-from keepwell.operators.cleaning import clean_frame
+from keepwell.operators.cleaning import clean_frame, typed_accounts
 
 NAMES = [f.name for f in domain.ACCOUNT_SCHEMA.fields]
 KINDS = {f.name: f.dataType.simpleString() for f in domain.ACCOUNT_SCHEMA.fields} | {"TotalCharges": "double"}
@@ -23,7 +23,7 @@ ca as (select * replace (total as TotalCharges, trim(Churn) as Churn) from ta)""
 
 def clean_accounts(spark, sf):
     """Accounts as the adaptive pages see them: cleaned, TotalCharges promoted to a number."""
-    return clean_frame(raw_accounts(spark, sf))
+    return clean_frame(uploaded(spark, sf))
 
 
 def _overview(columns: list[str], source: str) -> str:
@@ -221,7 +221,7 @@ st as (select *, case label when 0 then 'Retained' when 1 then 'Churned' end as
 def by_status(spark, sf):
     label = F.col("label")
     status = F.when(label == 0, F.lit("Retained")).when(label == 1, F.lit("Churned"))
-    return accounts(spark, sf).dropna(subset=["label"]).withColumn("status", status)
+    return typed_accounts(uploaded(spark, sf)).dropna(subset=["label"]).withColumn("status", status)
 
 
 @query("e21_box_by_status", over("accounts", STATUS, _box("MonthlyCharges", "st", "status", "g as status,"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import over, query
-from catalog.common import BAND, RATE, TIER, TYPED, accounts, raw_accounts, stable, table, views
+from catalog.common import BAND, RATE, TIER, TYPED, accounts, raw_accounts, stable, table, uploaded, views
 from keepwell import domain
 from keepwell.functions.rules import parse_label
 from keepwell.functions.values import normalize_name, to_number
@@ -61,7 +61,7 @@ def a05(spark, sf):
 select customerID, Contract, trim(Churn) as Churn, tenure::double as tenure, MonthlyCharges, total as TotalCharges
 from ta where regexp_matches(lower(Contract), 'month|two')""")
 def a06(spark, sf):
-    frame = cleaning.clean_frame(raw_accounts(spark, sf))
+    frame = cleaning.clean_frame(uploaded(spark, sf))
     path = new_path(spark, "a06") + ".csv"
     tables.write_report(selection.search(frame, "Contract", "month|two"), path)
     back = tables.read_table(spark, path)

@@ -162,15 +162,16 @@ def quantile_edges(scored: DataFrame, bins: int, exact: bool = True) -> DataFram
     return table.select(F.array_distinct("quantiles").alias("edges"))
 
 
-def _binned(scored: DataFrame, bins: int, exact: bool) -> tuple[DataFrame, Column]:
-    """Rows with their quantile bin; a score equal to an inner edge belongs to the lower bin."""
+def _binned(scored: DataFrame, bins: int, exact: bool) -> DataFrame:
+    """Rows with their quantile `bin`, from 1, and its edges; a score equal to an inner edge is in the lower bin."""
     edges = quantile_edges(scored, bins, exact).scalar()
-    passed = [
-        F.coalesce((F.col("probability") > F.get(edges, F.lit(i))) & (F.lit(i) < F.size(edges) - 1), F.lit(False))
-        for i in range(1, bins)
-    ]
-    number = reduce(lambda a, b: a + b, [p.cast("int") for p in passed], F.lit(1))
-    return labelled(scored).withColumn("bin", number), edges
+    rows = labelled(scored).select("label", "probability", edges.alias("_edges"))
+    last = F.size("_edges") - 1
+    passed = [(F.col("probability") > F.get("_edges", F.lit(i))) & (F.lit(i) < last) for i in range(1, bins)]
+    number = reduce(lambda a, b: a + b, [F.when(p, 1).otherwise(0) for p in passed], F.lit(1))
+    rows = rows.withColumn("bin", number)
+    return rows.select("label", "probability", "bin", F.get("_edges", F.col("bin") - 1).alias("lower"),
+                       F.get("_edges", F.least(F.col("bin"), last)).alias("upper"))
 
 
 def risk_deciles(scored: DataFrame, q: int = 10, exact: bool = True) -> DataFrame:
@@ -178,20 +179,14 @@ def risk_deciles(scored: DataFrame, q: int = 10, exact: bool = True) -> DataFram
 
     Bins are right-closed with the lowest score included; equal edges are merged, so ties share a bin.
     """
-    rows, edges = _binned(scored, q, exact)
-    table = rows.groupBy("bin").agg(
+    return _binned(scored, q, exact).groupBy("bin", "lower", "upper").agg(
         F.count(F.lit(1)).alias("customers"), (F.avg("probability") * 100).alias("average_probability"),
-        (F.avg("label") * 100).alias("actual_churn_rate"))
-    return table.select(
-        "bin", F.get(edges, F.col("bin") - 1).alias("lower"),
-        F.coalesce(F.get(edges, F.col("bin")), F.get(edges, F.col("bin") - 1)).alias("upper"),
-        "customers", "average_probability", "actual_churn_rate").orderBy("bin")
+        (F.avg("label") * 100).alias("actual_churn_rate")).orderBy("bin")
 
 
 def calibration(scored: DataFrame, bins: int = 10, exact: bool = True) -> DataFrame:
     """(bin, predicted, actual, gap) per quantile bin; empty bins do not appear."""
-    rows, _ = _binned(scored, bins, exact)
-    table = rows.groupBy("bin").agg(F.avg("probability").alias("predicted"), F.avg("label").alias("actual"))
+    table = _binned(scored, bins, exact).groupBy("bin").agg(F.avg("probability").alias("predicted"), F.avg("label").alias("actual"))
     return table.withColumn("gap", F.abs(F.col("predicted") - F.col("actual"))).orderBy("bin")
 
 

@@ -72,31 +72,31 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
         .select(*by, "_slice", "_count", F.coalesce(F.sum("_count").over(upto), F.lit(0)).alias("_start"),
                 F.sum("_count").over(group).alias("n"))
     )
+    wanted_points = F.array(*[F.lit(float(p)) for p in points])
 
-    def rank(point: float, side) -> Column:
-        return side((F.col("n") - 1) * F.lit(float(point))).cast("long")
+    def place(point: Column) -> Column:
+        return (F.col("n") - 1) * point
 
-    wanted = [rank(p, side) for p in points for side in (F.floor, F.ceil)]
-    ends = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_count")) for r in wanted]
-    hit = ends[0]
-    for end in ends[1:]:
-        hit = hit | end
-    hot = slices.where(hit).drop("_count")
+    ends = F.concat(F.transform(wanted_points, lambda p: F.floor(place(p))),
+                    F.transform(wanted_points, lambda p: F.ceil(place(p))))
+    here = F.filter(F.array_distinct(ends),
+                    lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_count")))
+    hot = slices.withColumn("_ranks", here).where(F.size("_ranks") > 0).drop("_count")
 
     inside = Window.partitionBy(*by, "_slice").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.join(hot, [*by, "_slice"]).select(
-        *by, "n", "_value", "_n",
+        *by, "n", "_value", "_n", "_ranks",
         (F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_first"))
+    held = placed.select(*by, "n", "_value", F.explode(F.filter(
+        "_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")))).alias("_rank"))
+    # at most two ranks per point and group
+    found = held.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
 
-    def at(r: Column) -> Column:
-        return F.max(F.when((r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")), F.col("_value")))
+    def quantile(point: Column) -> Column:
+        low, high = F.col("_at")[F.floor(place(point))], F.col("_at")[F.ceil(place(point))]
+        return _interpolate(low, high, place(point) - F.floor(place(point)))
 
-    found = placed.groupBy(*by, "n").agg(*[at(r).alias(f"_r{i}") for i, r in enumerate(wanted)])
-    results = []
-    for i, point in enumerate(points):
-        position = (F.col("n") - 1) * F.lit(float(point))
-        results.append(_interpolate(F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}"), position - F.floor(position)))
-    return found.select(*by, "n", F.array(*results).alias("quantiles"))
+    return found.select(*by, "n", F.transform(wanted_points, quantile).alias("quantiles"))
 
 
 def approximate_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = (),

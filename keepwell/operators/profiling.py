@@ -75,7 +75,8 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     else:
         one_row = df.agg(
             *[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(names)],
-            *[F.approx_count_distinct(quoted(c), 0.02).alias(f"u{i}") for i, c in enumerate(names)])
+            *[F.hll_sketch_estimate(F.hll_sketch_agg(quoted(c).cast("string"))).alias(f"u{i}")
+              for i, c in enumerate(names)])
         counted = one_row.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"), F.col(f"u{i}").alias("unique"))
             for i, c in enumerate(names)])))
@@ -156,19 +157,18 @@ def _limits(df: DataFrame, value: Column) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, lower, upper, count) over equal-width bins, empty bins included."""
-    value = number_of(df, column)
-    values = df.select(value.alias("value"))
-    limits = _limits(values, F.col("value")).scalar()
+    values = df.select(number_of(df, column).alias("value"))
+    limits = _limits(values, F.col("value"))
     binned = (
-        values.where(F.col("value").isNotNull())
-        .select(_bin_of(F.col("value"), limits["low"], limits["high"], bins).alias("bin"))
+        values.where(F.col("value").isNotNull()).withColumn("limits", limits.scalar())
+        .select(_bin_of(F.col("value"), F.col("limits.low"), F.col("limits.high"), bins).alias("bin"))
         .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     )
-    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    width = (limits["high"] - limits["low"]) / bins
+    width = (F.col("high") - F.col("low")) / bins
+    every = limits.select("limits.*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return every.join(binned, "bin", "left").select(
-        "bin", (limits["low"] + (F.col("bin") - 1) * width).alias("lower"),
-        (limits["low"] + F.col("bin") * width).alias("upper"),
+        "bin", (F.col("low") + (F.col("bin") - 1) * width).alias("lower"),
+        (F.col("low") + F.col("bin") * width).alias("upper"),
         F.coalesce("count", F.lit(0)).cast("long").alias("count")).orderBy("bin")
 
 
@@ -292,7 +292,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """The whole scatter as counts on a bins x bins grid: (bin_x, bin_y, count)."""
     points = df.select(number_of(df, x).alias("x"), number_of(df, y).alias("y")).dropna()
     limits = points.agg(F.struct(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))).scalar()
-    return points.groupBy(
-        _bin_of(F.col("x"), limits["x0"], limits["x1"], bins).alias("bin_x"),
-        _bin_of(F.col("y"), limits["y0"], limits["y1"], bins).alias("bin_y")).agg(F.count(F.lit(1)).alias("count"))
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    return points.select("x", "y", limits.scalar().alias("at")).groupBy(
+        _bin_of(F.col("x"), F.col("at.x0"), F.col("at.x1"), bins).alias("bin_x"),
+        _bin_of(F.col("y"), F.col("at.y0"), F.col("at.y1"), bins).alias("bin_y")).agg(F.count(F.lit(1)).alias("count"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keepwell.session import new_path
+
 ACCOUNTS_SQL = """
 with li as (
   select l_orderkey, count(*) as n_lines,
@@ -100,9 +102,26 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ACCOUNTS_SQL, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same accounts as a table in the shared folder, written once per application.
+
+    This is what an uploaded data set is: jobs that read their input several times should not derive it each time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = new_path(spark, "accounts")
+        accounts(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def scored(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
     """Accounts with a deterministic stand-in for a model's probability."""
-    return spark.sql(SCORED_SQL, accounts=accounts(spark, sf_dir))
+    source = stored_accounts if stored else accounts
+    return spark.sql(SCORED_SQL, accounts=source(spark, sf_dir))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
