@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 _PLAIN = {n: n for n in ("orders", "lineitem", "customer", "events", "accounts")}
 _VIEWS = {"accounts": ACCOUNTS_SQL, "scored": SCORED_SQL, "customers": CUSTOMERS_SQL}
-FAMILIES = ["tables", "select", "rules", "profile", "portfolio", "evaluate", "compare"]
+FAMILIES = ["tables", "select", "rules", "profile", "portfolio", "evaluate", "compare", "learn"]
 _NEEDS = {"accounts": ["accounts"], "scored": ["accounts", "scored"], "customers": ["customers"]}
 
 

@@ -23,17 +23,19 @@ def slice_of(value: Column | str) -> Column:
     The logarithm keeps the slices narrow where values are dense and their number small however far outliers lie.
     """
     value = as_column(value).cast("double")
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * SLICES_PER_UNIT)).cast("long")
+    slices = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * SLICES_PER_UNIT)).cast("long")
+    # never NULL, so that a join on slices adds no filter of its own and both its sides share one exchange
+    return F.coalesce(slices, F.lit(0).cast("long"))
 
 
 def running_totals(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False) -> DataFrame:
     """Adds `<name>_before`: the total of `name` over the rows ordered before this one.
 
-    `df` holds one row per (`by`, `value`), so equal values are already one row.
+    `df` holds one row per (`by`, `value`), so equal values are already one row; rows without a group are left out.
     """
     by = list(by)
-    sliced = df.withColumn("_slice", -slice_of(value) if descending else slice_of(value))
+    sliced = (df.dropna(subset=by) if by else df).withColumn("_slice", -slice_of(value) if descending else slice_of(value))
     order = F.desc(value) if descending else F.asc(value)
     across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -53,14 +55,14 @@ def _interpolate(low: Column, high: Column, share: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles per group: (`by`..., n, quantiles array<double>).
+    """Linear-interpolated quantiles per group: (`by`..., n, quantiles array<double>). NULL groups are left out.
 
     Distinct values are counted first (map-side combined, so a hot value is one row). Counts per slice locate the
     slices holding a wanted rank, and only those slices are ordered value by value.
     """
     by = list(by)
     counts = (
-        df.select(*by, as_column(value).cast("double").alias("_value"))
+        (df.dropna(subset=by) if by else df).select(*by, as_column(value).cast("double").alias("_value"))
         .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
         .groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_slice", slice_of("_value"))
@@ -82,6 +84,8 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     here = F.filter(F.array_distinct(ends),
                     lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_count")))
     hot = slices.withColumn("_ranks", here).where(F.size("_ranks") > 0).drop("_count")
+    if not by:
+        hot = F.broadcast(hot)  # at most two slices per point
 
     inside = Window.partitionBy(*by, "_slice").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.join(hot, [*by, "_slice"]).select(
@@ -120,7 +124,7 @@ def hashed_rank(df: DataFrame, key: str, by: Sequence[str], seed: int = 42) -> D
     and only a slice is sorted in one task.
     """
     by = list(by)
-    sliced = df.withColumn("_slice", hash_bucket(key, RANK_SLICES, seed))
+    sliced = df.dropna(subset=[key, *by]).withColumn("_slice", F.coalesce(hash_bucket(key, RANK_SLICES, seed), F.lit(0)))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(

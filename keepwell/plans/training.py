@@ -191,7 +191,7 @@ def fit_and_predict(train: DataFrame, test: DataFrame, build, settings: Training
 
     try:
         with ThreadPool(settings.parallelism) as pool:
-            return dict(pool.map(inheritable_thread_target(run), enumerate(build(rows).items()), chunksize=1))
+            return dict(pool.map(inheritable_thread_target(train.sparkSession)(run), enumerate(build(rows).items()), chunksize=1))
     finally:
         train_features.unpersist()
 
