@@ -177,9 +177,8 @@ SMALL_SPACE = {"n_estimators": [5, 10], "learning_rate": [0.05, 0.1], "max_depth
 
 @query("i16_random_search")
 def i16(spark, sf):
-    results, drawn = training.random_search(frame(spark, sf), BOOSTING, SETTINGS, SMALL_SPACE, 2)
-    settings = F.array(*[F.lit(str(d)) for d in drawn])
-    return results.withColumn("settings", F.get(settings, F.col("model").cast("int")))
+    results, _ = training.random_search(frame(spark, sf), SETTINGS, [LOGISTIC, BOOSTING], {BOOSTING: SMALL_SPACE})
+    return training.tuning_summary(spark, results)
 
 
 CHAMPIONS: dict[tuple[str, str], str] = {}

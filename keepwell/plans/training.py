@@ -235,39 +235,50 @@ def holdout_predictions(frame: DataFrame, settings: TrainingSettings, path: str
 
 
 # ---- search and champion ------------------------------------------------------------------------
-def random_search(frame: DataFrame, kind: str, settings: TrainingSettings, space: dict[str, list] | None = None,
-                  draws: int | None = None) -> tuple[DataFrame, list[dict]]:
-    """(results, drawn): mean fold metrics per draw (`model` is the draw's number as text) and the drawn settings."""
-    spaces = {LOGISTIC: domain.LOGISTIC_SPACE, FOREST: domain.FOREST_SPACE, BOOSTING: domain.BOOSTING_SPACE}
-    drawn = draw(space or spaces[kind], draws or settings.draws[kind], settings.seed)
-    results = cross_validate(
-        frame, settings, lambda rows: {str(i): tuned(kind, d, settings, rows) for i, d in enumerate(drawn)})
-    return results, drawn
-
-
 @dataclass(frozen=True)
 class SearchResult:
+    name: str
     kind: str
     settings: dict
     cv_roc_auc: float
 
 
-def best_draw(kind: str, results: DataFrame, drawn: list[dict]) -> SearchResult:
-    top = results.orderBy(F.desc("roc_auc"), F.col("model").cast("int")).first()
-    return SearchResult(kind, drawn[int(top["model"])], top["roc_auc"])
+def draw_all(settings: TrainingSettings, kinds: Sequence[str] | None = None,
+             spaces: dict[str, dict] | None = None) -> dict[str, tuple[str, dict]]:
+    """The combinations to try, by name: (kind of classifier, drawn parameters)."""
+    known = {LOGISTIC: domain.LOGISTIC_SPACE, FOREST: domain.FOREST_SPACE, BOOSTING: domain.BOOSTING_SPACE}
+    return {
+        f"{kind} {i}": (kind, drawn)
+        for kind in kinds or settings.draws
+        for i, drawn in enumerate(draw((spaces or {}).get(kind) or known[kind], settings.draws[kind], settings.seed))}
+
+
+def random_search(frame: DataFrame, settings: TrainingSettings, kinds: Sequence[str] | None = None,
+                  spaces: dict[str, dict] | None = None) -> tuple[list[SearchResult], DataFrame]:
+    """(results, out-of-fold predictions of every draw), from one pass over the folds for all classifiers together.
+
+    Preprocessing is fitted once per fold and shared by all draws, and no draw is fitted again for its threshold.
+    """
+    drawn = draw_all(settings, kinds, spaces)
+    oof = oof_predictions(
+        training_rows(frame),
+        lambda rows: {name: tuned(kind, d, settings, rows) for name, (kind, d) in drawn.items()}, settings)
+    # one short row per draw
+    scores = {r["model"]: r["roc_auc"] for r in fold_means(oof).select("model", "roc_auc").collect()}
+    return [SearchResult(name, kind, d, scores[name]) for name, (kind, d) in drawn.items()], oof
 
 
 def tuning_summary(spark: SparkSession, results: Sequence[SearchResult]) -> DataFrame:
-    """(model, roc_auc, settings) per searched classifier, best first."""
-    rows = [(r.kind, float(r.cv_roc_auc), str(r.settings)) for r in results]
+    """(model, roc_auc, settings): the best draw of every kind, best kind first."""
+    best = [select_champion(results, kind) for kind in dict.fromkeys(r.kind for r in results)]
+    rows = [(r.kind, float(r.cv_roc_auc), str(r.settings)) for r in best]
     return spark.createDataFrame(rows, "model string, roc_auc double, settings string").orderBy(
         F.desc("roc_auc"), "model")
 
 
 def select_champion(results: Sequence[SearchResult], choose: str | None = None) -> SearchResult:
-    """The search with the best mean ROC-AUC, or the one asked for."""
-    offered = [r for r in results if choose in (None, r.kind)]
-    return max(offered, key=lambda r: r.cv_roc_auc)
+    """The draw with the best mean ROC-AUC, of one kind if asked; the earlier draw on ties."""
+    return max((r for r in results if choose in (None, r.kind)), key=lambda r: r.cv_roc_auc)
 
 
 def champion_threshold(oof: DataFrame) -> float:
@@ -284,18 +295,13 @@ def train_champion(accounts: DataFrame, settings: TrainingSettings, path: str, k
     spark = accounts.sparkSession
     frame = prepare(accounts, settings).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = []
-        for kind in kinds or settings.draws:
-            results, drawn = random_search(frame, kind, settings, (spaces or {}).get(kind))
-            found.append(best_draw(kind, results, drawn))
-        winner = select_champion(found, choose)
-
-        def build(rows: float) -> dict[str, Estimator]:
-            return {winner.kind: tuned(winner.kind, winner.settings, settings, rows)}
-
-        oof = oof_predictions(training_rows(frame), build, settings)
+        results, predictions = random_search(frame, settings, kinds, spaces)
+        winner = select_champion(results, choose)
+        oof = predictions.where(F.col("model") == winner.name).withColumn("model", F.lit(winner.kind))
         tested = new_path(spark, "champion-holdout")
-        fitted = fit_and_predict(training_rows(frame), frame.where(F.col("split") == "test"), build, settings, tested)
+        fitted = fit_and_predict(
+            training_rows(frame), frame.where(F.col("split") == "test"),
+            lambda rows: {winner.kind: tuned(winner.kind, winner.settings, settings, rows)}, settings, tested)
         champion = Champion(fitted[winner.kind], winner.kind, champion_threshold(oof), winner.cv_roc_auc)
         save_champion(spark, champion, path)
         return champion, oof, spark.read.parquet(tested).drop("run")
