@@ -44,7 +44,8 @@ class TrainingSettings:
     boosting_rate: float = 0.05
     boosting_depth: int = 3
     draws: dict[str, int] = field(default_factory=lambda: {LOGISTIC: 8, FOREST: 25, BOOSTING: 25})
-    parallelism: int = 3
+    parallelism: int = 3  # classifiers fitted at once on one fold
+    fold_parallelism: int = 1  # folds at once; each keeps its own features persisted
     partitions: int | None = None  # spreads small training sets over more tasks; big ones are spread already
     numeric: tuple[str, ...] = tuple(domain.NUMERIC_FEATURES)
     categorical: tuple[str, ...] = tuple(domain.CATEGORICAL_FEATURES)
@@ -190,19 +191,27 @@ def fit_and_predict(train: DataFrame, test: DataFrame, build, settings: Training
         return name, PipelineModel(stages=[prepared, model])
 
     try:
-        with ThreadPool(settings.parallelism) as pool:
-            return dict(pool.map(inheritable_thread_target(train.sparkSession)(run), enumerate(build(rows).items()), chunksize=1))
+        return dict(_at_once(train.sparkSession, settings.parallelism, run, enumerate(build(rows).items())))
     finally:
         train_features.unpersist()
 
 
+def _at_once(spark: SparkSession, threads: int, work, items) -> list:
+    """Runs independent Spark jobs from a few driver threads."""
+    with ThreadPool(threads) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
+
+
 def oof_predictions(frame: DataFrame, build, settings: TrainingSettings, path: str | None = None) -> DataFrame:
     """(model, fold, customerID, label, probability): every row predicted by models that never saw its fold."""
     spark = frame.sparkSession
     path = path or new_path(spark, "oof")
-    for fold in range(settings.folds):
+
+    def run(fold: int) -> None:
         fit_and_predict(frame.where(F.col("fold") != fold), frame.where(F.col("fold") == fold), build, settings, path,
                         fold=fold)
+
+    _at_once(spark, settings.fold_parallelism, run, range(settings.folds))
     return spark.read.parquet(path).drop("run")
 
 
@@ -287,7 +296,8 @@ def champion_threshold(oof: DataFrame) -> float:
 
 
 def train_champion(accounts: DataFrame, settings: TrainingSettings, path: str, kinds: Sequence[str] | None = None,
-                   spaces: dict[str, dict] | None = None, choose: str | None = None) -> tuple[Champion, DataFrame, DataFrame]:
+                   spaces: dict[str, dict] | None = None,
+                   choose: str | None = None) -> tuple[Champion, DataFrame, DataFrame]:
     """Searches, chooses, sets the threshold out of fold, fits on the training rows and saves.
 
     Returns the champion, its out-of-fold predictions and its predictions on the test rows.
@@ -311,6 +321,6 @@ def train_champion(accounts: DataFrame, settings: TrainingSettings, path: str, k
 
 def quick_settings(**changes) -> TrainingSettings:
     """Small models for tests and timing; every row is still trained on and predicted."""
-    small = TrainingSettings(folds=3, logistic_iterations=50, forest_trees=10, forest_depth=5, boosting_trees=10,
-                             boosting_rate=0.1, draws={LOGISTIC: 2, FOREST: 2, BOOSTING: 2})
+    small = TrainingSettings(folds=3, fold_parallelism=3, logistic_iterations=50, forest_trees=10, forest_depth=5,
+                             boosting_trees=10, boosting_rate=0.1, draws={LOGISTIC: 2, FOREST: 2, BOOSTING: 2})
     return replace(small, **changes)

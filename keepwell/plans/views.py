@@ -110,7 +110,8 @@ def stored_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = new_path(spark, "accounts")
-        accounts(spark, sf_dir).write.parquet(path)
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        accounts(spark, sf_dir).repartition(files).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
