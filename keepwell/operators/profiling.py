@@ -148,7 +148,7 @@ def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin from 1 to `bins`; the maximum belongs to the last bin, a constant column to the first."""
     width = (high - low) / bins
     place = F.floor(F.try_divide(value - low, width)).cast("int") + 1
-    return F.when(value.isNotNull(), F.coalesce(F.least(place, F.lit(bins)), F.lit(1)))
+    return F.when(value.isNotNull(), F.least(F.coalesce(place, F.lit(1)), F.lit(bins)))
 
 
 def _limits(df: DataFrame, value: Column) -> DataFrame:

@@ -52,12 +52,18 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, multiline
 
 
 def read_csv_quarantined(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good rows, unreadable lines) of a CSV with known columns."""
+    """(good rows, rows of the wrong width with their text in `_corrupt_record`) of a CSV with known columns.
+
+    Every column is parsed whatever is selected, since a line's width shows only when all of it is read.
+    """
     bad = "_corrupt_record"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, bad]])
-    rows = spark.read.options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=bad).schema(schema).csv(path)
-    good = rows.where(F.col(bad).isNull()).drop(bad)
-    return missing_texts_to_null(good), rows.where(F.col(bad).isNotNull()).select(bad)
+    options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "columnPruning": False}
+    rows = spark.read.options(**options).schema(schema).csv(path)
+    # always true; Spark refuses plans that read nothing but the corrupt-record column, as a bare count would
+    parsed = F.length(F.concat_ws("", *[quoted(c) for c in columns])) >= 0
+    good = rows.where(F.col(bad).isNull() & parsed).drop(bad)
+    return missing_texts_to_null(good), rows.where(F.col(bad).isNotNull() & parsed)
 
 
 def require_nonempty(df: DataFrame, name: str = "dataset") -> DataFrame:
