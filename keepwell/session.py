@@ -26,13 +26,23 @@ def build_session(app: str = "keepwell", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
+    """The folder every executor can reach: `spark.checkpoint.dir`.
+
+    Where it is unset, a local session (a test) gets a temporary folder; a cluster gets an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="keepwell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="keepwell-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

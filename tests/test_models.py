@@ -85,6 +85,17 @@ def test_score_fills_every_row_even_with_unseen_and_missing_values(trained, acco
     assert {r[0] for r in scored.select("risk_tier").distinct().collect()} <= set(TIER_ORDER)
 
 
+def test_scores_are_laid_out_by_tier(spark, trained, accounts):
+    path = new_path(spark, "scores")
+    scored = scoring.score(accounts, trained[0])
+    scoring.write_scores(scored, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == scored.count()
+    critical = stored.where("risk_tier = 'CRITICAL'")
+    assert critical.count() == scored.where("risk_tier = 'CRITICAL'").count()
+    assert all("risk_tier=CRITICAL" in f for f in critical.inputFiles())
+
+
 def test_streamed_scores_equal_batch_scores(spark, trained, accounts):
     base = new_path(spark, "stream-scores")
     accounts.write.parquet(f"{base}/in")
