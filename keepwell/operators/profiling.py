@@ -16,6 +16,7 @@ from keepwell.functions.values import correlation, quoted, row_digest, to_number
 from keepwell.operators.cleaning import long_form, numeric_columns
 from keepwell.operators.ordering import quantiles
 
+MAX_BROADCAST_GROUPS = 10_000
 METRIC = "array<struct<position:int,metric:string,value:double>>"
 
 
@@ -187,7 +188,10 @@ def _with_fences(df: DataFrame, column: str, by: str | None, exact: bool, *keep:
     values = df.select(*group, *keep, number_of(df, column).alias("value")).where(F.col("value").isNotNull())
     fences = box_fences(df, column, by, exact)
     if by:
-        return values.join(fences, by)
+        # a column of few groups must not send each group to one task; the fences are counted before they are broadcast
+        fences = fences.persist()
+        few = fences.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+        return values.join(F.broadcast(fences) if few else fences, by)
     fence = fences.select(F.struct("*").alias("fence")).scalar()
     return values.withColumn("_fence", fence).select(*values.columns, "_fence.*")
 
