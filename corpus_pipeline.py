@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepwell.llm import language, packing, pii
+from keepwell.llm import language, lines, near, packing, pii
 from keepwell.llm.common import read_table, stored
 from keepwell.llm.queries import pattern, vocabulary
 
@@ -16,6 +16,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.keep_known(docs, language.fit(docs))
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one holds; those of which nothing is left go."""
+    return lines.dedup_documents(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near.dedup_documents(docs)
+
+
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked."""
     return pii.mask_documents(docs)
@@ -28,6 +38,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", without_near_duplicates),
     ("personal_data", without_personal_data),
     ("packing", packed),
 ]

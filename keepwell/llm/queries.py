@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, imatch, language, packing, pii, vantage
+from keepwell.llm import bpe, imatch, language, lines, near, packing, pii, vantage
 from keepwell.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
 
 
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id of its class; `stays` marks the one that a filter would keep."""
+    found = near.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("key.doc_id").alias("doc_id"), F.col("class_key.doc_id").alias("class_id"),
+                        F.expr("key = class_key").alias("stays"))
+
+
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(read_table(spark, sf_dir, "documents"))
