@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from bisect import bisect_left, insort
@@ -12,13 +13,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.bpe import coder
+from keepwell.llm.bpe import byte_characters
 from keepwell.llm.common import stored, text_blocks
 
 CAPACITY, SHARD_PIECES, ISLANDS, EPOCHS = 2048, 2048, 2, 2
 POPULATION, GENERATIONS, ELITE = 6, 12, 2
 
 Bins = list[list[int]]
+_LOADED: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """The ids that a byte-level `tokenizers` file gives a text. The ids of such a file are its merge ranks, so the faster
+    rank-based encoder gives the same; tests compare both over every character. Texts that its splitter can't finish (very
+    long white space) go to the `tokenizers` library itself."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.exact = Tokenizer.from_file(path)
+        self.exact.encode_special_tokens = True
+        place = {character: byte for byte, character in enumerate(byte_characters())}
+        special = {token.content for token in self.exact.get_added_tokens_decoder().values()}
+        ranks = {bytes(place[c] for c in token): i for token, i in self.exact.get_vocab().items() if token not in special}
+        self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.quick.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for each worker process."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path, pattern)
+    return _LOADED[path]
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -29,12 +62,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
     """
 
     def run(batches):
-        own = coder(path, pattern)
+        own = encoder(path, pattern)
         for block in text_blocks(batches):
             out: list[tuple] = []
-            ids = own.encode([t or "" for t in block.column("text").to_pylist()])
-            for doc_id, found in zip(block.column("doc_id").to_pylist(), ids, strict=True):
-                whole = np.append(found, end_id).astype("<u4")
+            for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
+                whole = np.append(own.encode(text or ""), end_id).astype("<u4")
                 cuts = [0, *range(len(whole) % capacity or capacity, len(whole) + 1, capacity)]
                 out += [(doc_id, k, s, e - s, zlib.crc32(whole[s:e].tobytes()))
                         for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
@@ -151,6 +183,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIE
     sequence alone. Read twice: give a stored table. Equal rows are different pieces. No pieces give no rows.
     """
     shards = max(1, -(-cut.count() // shard_pieces))
+    tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards))
     table = cut.select(shard.alias("shard"), F.struct("length", "doc_id", "piece", "start", "ids_crc32").alias("item"))
@@ -171,7 +204,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIE
                                  len(best[0]), len(best[0]) <= bound))
                 yield pd.DataFrame(rows, columns=["shard", "sizes", "island", "found", "bins", "settled"])
 
-        found = state.repartition(F.col("shard"), F.col("island")).mapInPandas(
+        # a set number of partitions: the rows are few and small, but each takes long
+        found = state.repartition(tasks, F.col("shard"), F.col("island")).mapInPandas(
             run, "shard long, sizes array<long>, island int, found array<array<int>>, bins int, settled boolean")
         found = stored(found, "pack-epoch")
         # the elite of an island goes to itself and to the next one
