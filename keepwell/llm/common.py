@@ -13,7 +13,7 @@ from keepwell.session import new_path
 
 BLOCK_BYTES = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+BASE = np.uint64(0xD6E8FEB86659FD93)
 _BYTE_CODES = np.random.RandomState(20240607).randint(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = [np.ones(1, np.uint64)]
 SEPARATORS = np.zeros(256, bool)
@@ -61,7 +61,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def powers(n: int) -> np.ndarray:
     """At least n powers of the hash base, modulo 2^64."""
     if len(_POWERS[0]) < n:
-        steps = np.full(max(n, 2 * len(_POWERS[0])), _BASE)
+        steps = np.full(max(n, 2 * len(_POWERS[0])), BASE)
         steps[0] = 1
         _POWERS[0] = np.multiply.accumulate(steps)
     return _POWERS[0]
@@ -118,7 +118,7 @@ def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            total = total * _BASE + values[k:k + n]
+            total = total * BASE + values[k:k + n]
     return mix(total)
 
 

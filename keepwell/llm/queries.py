@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, imatch, language, lines, near, packing, pii, vantage
+from keepwell.llm import bpe, imatch, language, lines, near, packing, pii, recompression, vantage
 from keepwell.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr("key = class_key").alias("stays"))
 
 
+@query("op4_recompression_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_passages(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(read_table(spark, sf_dir, "documents"))
