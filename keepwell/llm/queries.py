@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, imatch, language, lines, near, packing, pii, recompression, vantage
+from keepwell.llm import bpe, imatch, language, lines, near, packing, pii, recompression, suffixes, vantage
 from keepwell.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_strings(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read_table(spark, sf_dir, "documents")).drop("kept")
