@@ -12,7 +12,7 @@ from keepwell.llm.components import components
 from keepwell.llm.lines import KEY, with_key
 
 #: Words of a shingle, least similarity, sketches of a document, and shingles in a sketch.
-SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 16, 3
+SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 5
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _WIDE = 50_000
 
@@ -151,10 +151,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     """key, class_key, for every row: the class of near-duplicates it is in, named by its smallest key.
 
     Equal texts are one text. Different texts that share a sketch are compared in rounds. First each text of a bucket meets
-    the bucket's centre, the text with the smallest hash. While a bucket still holds texts of different classes, twice as
-    many centres meet all texts of other classes, until every text has been a centre: so no link between classes is missed
-    among texts that share a sketch, and a bucket of copies costs one pair each, not all pairs. Empty and null texts are
-    equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
+    the bucket's centre, the text with the smallest hash; as every bucket has a centre of its own, a pair that shares several
+    sketches meets several centres. Where a bucket still holds texts of different classes, twice as many centres meet the
+    texts of other classes, and so on until a round links nothing more or every text has been a centre. A bucket of copies
+    costs one pair each, not all pairs. Empty and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
     """
     table = stored(sketch_table(docs, sketches, minima), "sketches")
     texts = stored(table.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("least")).select(
@@ -172,9 +172,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
         pairs = found.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         good = stored(verified(pairs, sequences, least), "verified")
-        if tested is None or not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            classes = components(links)
+        if tested is not None and good.isEmpty():
+            break
+        links = good if links is None else links.unionByName(good)
+        classes = components(links)
         tested = pairs if tested is None else tested.unionByName(pairs)
         members = members.where(F.col("n") > max(width, 2)).join(classes, "key", "left").select(
             "bucket", "key", "place", "n", F.coalesce("component", "key").alias("component"))
