@@ -27,13 +27,19 @@ def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def parts_for(docs: DataFrame, bytes_each: int = PART_BYTES) -> int:
-    """So many parts that each stands for about `bytes_each` of text, and no fewer than the session's shuffle has."""
+def parts_for(docs: DataFrame, bytes_each: int = PART_BYTES) -> np.ndarray:
+    """Labels of so many parts that each stands for about `bytes_each` of text, and no fewer than the session's shuffle has.
+
+    The labels are numbers that Spark's hash deals to different partitions, so that each task gets one part.
+    """
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+    found = spark.range(40 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("id")).collect()
+    return np.array([r["id"] for r in found], np.int64)
 
 
-def by_part(rows: DataFrame, parts: int, solve, schema: str) -> DataFrame:
+def by_part(rows: DataFrame, parts: np.ndarray, solve, schema: str) -> DataFrame:
     """solve(blobs of a part) for each part of (part, blob); yields record batches. A task holds one part at a time."""
 
     def run(batches):
@@ -48,7 +54,7 @@ def by_part(rows: DataFrame, parts: int, solve, schema: str) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return rows.repartition(len(parts), "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def spans_by_document(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray,

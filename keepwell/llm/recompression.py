@@ -136,7 +136,7 @@ def anchors(values: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tup
     return name, place
 
 
-def anchored(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
+def anchored(docs: DataFrame, parts: np.ndarray, window: int = WINDOW) -> DataFrame:
     """(part, blob) rows: windows filed under anchors. Windows repeated inside a block of documents are decided at once and
     only travel as spans, so a passage that many documents share leaves a task once."""
 
@@ -169,7 +169,7 @@ def anchored(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
             at = np.flatnonzero(new)
             size = np.diff(np.append(at, len(starts)))
             key, row_doc = name[at], doc[starts[at]]
-            part = (key % np.uint64(parts)).astype(np.int64)
+            part = parts[key % np.uint64(len(parts))]
             where = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[where]) != 0, [True])))
             decided = (doc[seen], seen - begin[doc[seen]])

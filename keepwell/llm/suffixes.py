@@ -72,7 +72,7 @@ def ids_of(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(), block.column("version").to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
 
 
-def references(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+def references(docs: DataFrame, parts: np.ndarray, length: int, gram: int) -> DataFrame:
     """(part, blob) rows: where each anchor is, and a hash of the bytes around it."""
 
     def run(batches):
@@ -82,7 +82,7 @@ def references(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame
             if found is None:
                 continue
             key, content, text, begin, count = found
-            yield from blobs_of((key % np.uint64(parts)).astype(np.int64), lambda rows: [
+            yield from blobs_of(parts[key % np.uint64(len(parts))], lambda rows: [
                 ids[used := np.unique(text[rows])], versions[used], nulls[used], key[rows], content[rows],
                 np.searchsorted(used, text[rows]).astype(np.int32), begin[rows].astype(np.int32), count[rows].astype(np.int32)])
 
@@ -143,7 +143,7 @@ def sort_out(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
         yield restore_nulls(batch, ids, versions, nulls)
 
 
-def fragments(docs: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
+def fragments(docs: DataFrame, asked: DataFrame, parts: np.ndarray) -> DataFrame:
     """(part, blob) rows: the asked-for fragments of texts, by anchor."""
     wanted = asked.groupBy("doc_id", "version").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "keys")))
     rows = identified(docs).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -157,7 +157,7 @@ def fragments(docs: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
             text = np.repeat(np.arange(len(ids)), [len(x) for x in block.column("starts")])
             if not len(text):
                 continue
-            part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            part = parts[keys.view(np.uint64) % np.uint64(len(parts))]
 
             def make(rows):
                 used = np.unique(text[rows])
