@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DECISIONS = "doc_id long, version long, starts array<int>, ends array<int>"
-PART_BYTES = 12_000_000
+PART_BYTES = 24_000_000
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:

@@ -11,20 +11,16 @@ from keepwell.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """key, component (its smallest key) of every end of the links (a, b).
 
-    Each round every key takes the smallest label among its neighbours, then the label of its label; rounds go on until
-    nothing changes, about the logarithm of the longest chain. Labels go through the shared folder.
+    Each round every key takes the smallest label among its own, its neighbours' and that of its label's key; rounds go on
+    until nothing changes, about the logarithm of the longest chain. Labels go through the shared folder. Links are distinct.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("key", "near"), "links")
+    both = stored(links.select("a", "b").union(links.select("b", "a")).toDF("key", "near"), "links")
     labels = stored(both.groupBy("key").agg(F.least(F.min("near"), F.col("key")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("key", "near"), "near").groupBy("key").agg(F.min("component").alias("least"))
-        joined = stored(labels.join(near, "key").select(
-            "key", "component", F.least("component", "least").alias("next")), "labels")
-        # the label's own label
-        jump = joined.select(F.col("key").alias("next"), F.col("next").alias("further"))
-        after = stored(joined.join(jump, "next", "left").select(
-            "key", "component", F.coalesce(F.least("next", "further"), "next").alias("now")), "labels")
-        changed = after.where("now <> component").limit(1).count()
+        further = labels.select(F.col("key").alias("component"), F.col("component").alias("further"))
+        after = stored(labels.join(near, "key").join(further, "component", "left").select(
+            "key", "component", F.least("component", "least", "further").alias("now")), "labels")
         labels = after.select("key", F.col("now").alias("component"))
-        if not changed:
+        if after.where("now <> component").isEmpty():
             return labels

@@ -151,16 +151,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     """key, class_key, for every row: the class of near-duplicates it is in, named by its smallest key.
 
     Equal texts are one text. Different texts that share a sketch are compared in rounds. First each text of a bucket meets
-    the bucket's centre, the text with the smallest hash; as every bucket has a centre of its own, a pair that shares several
-    sketches meets several centres. Where a bucket still holds texts of different classes, twice as many centres meet the
-    texts of other classes, and so on until a round links nothing more or every text has been a centre. A bucket of copies
+    the bucket's centre, the text with the smallest hash in one of four orders; a pair that shares several sketches meets
+    several centres. Where a bucket still holds texts of different classes, four times as many centres meet the texts of
+    other classes, and so on until a round links nothing more or every text has been a centre. A bucket of copies
     costs one pair each, not all pairs. Empty and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
     """
     table = stored(sketch_table(docs, sketches, minima), "sketches")
     texts = stored(table.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("least")).select(
         "digest", "least.key", "least.sketch"), "texts")
     exploded = texts.select("key", F.posexplode("sketch").alias("band", "value"))
-    place = (F.xxhash64("key", "band") / F.lit(2.0**64) + F.lit(0.5)).alias("place")
+    # four orders of the texts, so that near copies meet few different centres
+    place = (F.xxhash64("key", F.col("band") % 4) / F.lit(2.0**64) + F.lit(0.5)).alias("place")
     members = exploded.select(F.struct("band", "value").alias("bucket"), "key", place)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("place").alias("centre")).where("n > 1")
     members = stored(members.join(sizes, "bucket"), "buckets")
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
         members = stored(members.join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
         if members.isEmpty():
             break
-        width *= 2
+        width *= 4
         centres = members.where(F.col("place") * F.col("n") < width).select(
             "bucket", F.col("key").alias("other"), F.col("component").alias("other_component"))
         found = members.join(centres, "bucket").where("component <> other_component")

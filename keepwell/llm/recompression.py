@@ -146,6 +146,9 @@ def anchored(docs: DataFrame, parts: np.ndarray, window: int = WINDOW) -> DataFr
             ids = block.column("doc_id").fill_null(0).to_numpy()
             versions = block.column("version").to_numpy()
             by = document_order(ids, nulls, versions)
+            # rows equal in id and text are one document
+            same = (np.diff(ids[by]) == 0) & (np.diff(versions[by]) == 0) & (nulls[by][1:] == nulls[by][:-1])
+            by = by[np.concatenate(([True], ~same))]
             ids, nulls, versions = ids[by], nulls[by], versions[by]
             data, offsets = flat(block.column("text").take(pa.array(by)))
             _, _, values, first = words(data, offsets)
@@ -223,7 +226,10 @@ def later_windows(blobs: list[bytes], window: int = WINDOW) -> Iterator[pa.Recor
     name = mix(np.repeat(key[rows], count[rows]) + ((high[at].astype(np.uint64) << np.uint64(8)) | low[at]) * np.uint64(0x9E3779B97F4A7C15))
     owner, place = np.repeat(doc[rows], count[rows]), np.repeat(start[rows].astype(np.int64), count[rows]) + inner
     order = np.lexsort((place, owner, name))
-    again = order[1:][name[order[1:]] == name[order[:-1]]]
+    new = np.concatenate(([True], name[order[1:]] != name[order[:-1]])) if len(order) else np.zeros(0, bool)
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    # the first place itself may be listed more than once, for rows that repeat
+    again = order[(owner[order] != owner[first]) | (place[order] != place[first])]
     spans = [(owner[again], place[again], place[again] + window)]
     spans += [(rank_of[t[9] + b], t[10].astype(np.int64), t[11].astype(np.int64)) for t, b in zip(tables, base, strict=True)]
     owner, place, end = (np.concatenate(x) for x in zip(*spans, strict=True))
