@@ -47,13 +47,14 @@ def c04(spark, sf):
     return selection.distinct_values(frame, selection.status_column(frame.columns, roles.roles_of(frame)))
 
 
-IDS = """ids as (select concat('C', lpad(cast(user_id * 400 + event_id % 3 as varchar), 8, '0')) as id from events)"""
+IDS = """ids as (select concat('C', lpad(n, greatest(8, length(n))::int, '0')) as id
+  from (select cast(user_id * 400 + event_id % 3 as varchar) as n from events))"""
 
 
 def requested(spark, sf):
-    number = F.col("user_id") * 400 + F.col("event_id") % 3
-    return table(spark, sf, "events").select(F.concat(F.lit("C"), F.lpad(number.cast("string"), 8, "0")).alias(
-        "customerID"))
+    number = (F.col("user_id") * 400 + F.col("event_id") % 3).cast("string")
+    return table(spark, sf, "events").select(F.concat(
+        F.lit("C"), F.lpad(number, F.greatest(F.lit(8), F.length(number)), F.lit("0"))).alias("customerID"))
 
 
 @query("c05_lookup", over("accounts", IDS) + """

@@ -23,16 +23,22 @@ def with_renewal_label(customers: DataFrame, healthy: float = 45.0) -> DataFrame
 
 
 def train_renewal(labelled: DataFrame, trees: int = 100, depth: int = 30) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=INPUTS, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=INPUTS, outputCol="features", handleInvalid="keep")
     classifier = RandomForestClassifier(featuresCol="features", labelCol="renewed", numTrees=trees, maxDepth=depth,
                                         seed=SEED)
     return Pipeline(stages=[assembler, classifier]).fit(labelled.dropna(subset=[*INPUTS, "renewed"]))
 
 
 def score_renewal(customers: DataFrame, model: PipelineModel) -> DataFrame:
-    """Customers with renewal and churn probabilities in percent (two decimals), risk level and recommendation."""
+    """Customers with renewal and churn probabilities in percent (two decimals), risk level and recommendation.
+
+    Every customer has a row; one with a missing input has NULL in all four columns.
+    """
     scored = model.transform(customers)
-    p = vector_to_array("probability")
+    known = F.lit(True)
+    for name in INPUTS:
+        known = known & F.col(name).isNotNull()
+    p = F.when(known, vector_to_array("probability"))
     return (
         scored.withColumn("renewal_probability", display.rounded(p[1] * 100, 2))
         .withColumn("churn_probability", display.rounded(p[0] * 100, 2))

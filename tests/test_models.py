@@ -181,3 +181,16 @@ def test_deep_leaves_need_no_table():
     phi = explaining.contributions([leaf], x)
     totals = 2.0 * np.all(x <= 0, axis=1) - explaining.base_value([leaf])
     assert "table" not in leaf and np.allclose(phi.sum(axis=1), totals)
+
+
+def test_renewal_scores_every_customer(spark):
+    from keepwell.plans import renewal
+
+    rows = [(k, float(k % 100), k % 9, float(k % 11)) for k in range(60)] + [(60, None, 1, 5.0), (61, 40.0, None, None)]
+    customers = spark.createDataFrame(rows, "id long, usage double, tickets int, nps double")
+    model = renewal.train_renewal(renewal.with_renewal_label(customers), trees=5, depth=4)
+    found = {r.id: r for r in renewal.score_renewal(customers, model).collect()}
+    assert len(found) == 62 and found[5].renewal_probability is not None
+    for missing in (60, 61):
+        assert found[missing].renewal_probability is None and found[missing].risk_level is None
+        assert found[missing].recommendation is None
