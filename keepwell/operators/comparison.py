@@ -38,10 +38,11 @@ def customer_summary(accounts: DataFrame, ids: DataFrame) -> DataFrame:
 def paired(scored: DataFrame, pairs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Pairs (`a`, `b`) with both records as structs `ra`, `rb` and a `status`.
 
-    A customer compared with itself, or one that does not exist, is reported in `status` rather than compared.
+    A customer compared with itself, or one that does not exist, is reported in `status` rather than compared. Of several
+    records of one id the smallest counts, field by field.
     """
     columns = list(columns or dict.fromkeys([*domain.COMPARISON_FIELDS.values(), "probability"]))
-    record = scored.select(F.col("customerID").cast("string").alias("_id"), F.struct(*columns).alias("_r"))
+    record = scored.groupBy(F.col("customerID").cast("string").alias("_id")).agg(F.min(F.struct(*columns)).alias("_r"))
 
     def side(df: DataFrame, key: str) -> DataFrame:
         other = record.select(F.col("_id").alias(f"_{key}"), F.col("_r").alias(f"r{key}"))

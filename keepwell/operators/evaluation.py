@@ -22,7 +22,8 @@ FINE_GRID = range(10, 71)
 
 
 def labelled(scored: DataFrame) -> DataFrame:
-    return scored.where(F.col("label").isNotNull() & F.col("probability").isNotNull())
+    """Rows with a label and a probability; NaN is none."""
+    return scored.where(F.col("label").isNotNull() & F.col("probability").isNotNull() & ~F.isnan("probability"))
 
 
 def _counts(threshold: float) -> dict[str, Column]:

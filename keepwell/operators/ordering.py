@@ -1,6 +1,6 @@
 """Ordered computations that never put a whole column into one task.
 
-A total order over a big column is cut into slices by a monotone function of the value. Slice totals are few, so a
+A total order over a big column is cut into slices at approximate quantiles of its values. Slice totals are few, so a
 window over them is small; the work inside a slice is spread over the cluster by the slice number.
 """
 
@@ -13,37 +13,51 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.values import as_column, hash_bucket, quoted
 
-SLICES_PER_UNIT = 16384
+SLICES = 4096  # a power of two
 RANK_SLICES = 1 << 16
 
 
-def slice_of(value: Column | str) -> Column:
-    """A slice number that never decreases as the value grows: about 11,000 slices over [0, 1], 340,000 up to 1e9.
+def with_slices(df: DataFrame, value: Column | str) -> DataFrame:
+    """Adds `_slice`, which never decreases as the value grows and holds about 1/4096 of the rows, wherever the values lie.
 
-    The logarithm keeps the slices narrow where values are dense and their number small however far outliers lie.
+    `df` holds one row per value (and group), so no value fills a slice. The edges come from one sketch of the rows, whose
+    error moves an edge but changes no order; NULL lies in the lowest slice and NaN in the highest.
     """
     value = as_column(value).cast("double")
-    slices = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * SLICES_PER_UNIT)).cast("long")
-    # never NULL, so that a join on slices adds no filter of its own and both its sides share one exchange
-    return F.coalesce(slices, F.lit(0).cast("long"))
+    # one literal, as thousands of them are slow to build
+    points = F.split(F.lit(",".join(str(i / SLICES) for i in range(1, SLICES))), ",").cast("array<double>")
+    edges = df.agg(F.percentile_approx(value, points, 10 * SLICES)).scalar()
+    steps = F.array(*[F.lit(SLICES >> i) for i in range(1, SLICES.bit_length())])
+    # binary search; no edges, if there are no values
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        F.get("_edges", low + step - 1) <= F.col("_sliced"), low + step).otherwise(low))
+    found = df.withColumns({"_edges": edges, "_sliced": value}).withColumn("_slice", at)
+    return found.drop("_edges", "_sliced")
+
+
+def _grouped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds the group as one struct: structs of NULLs are equal, so a NULL group stays in a join."""
+    return df.withColumn("_group", F.struct(F.lit(0).alias("_all"), *[quoted(c) for c in by]))
 
 
 def running_totals(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False) -> DataFrame:
     """Adds `<name>_before`: the total of `name` over the rows ordered before this one.
 
-    `df` holds one row per (`by`, `value`), so equal values are already one row; rows without a group are left out.
+    `df` holds one row per (`by`, `value`), so equal values are already one row; NULL is a group like others.
     """
     by = list(by)
-    sliced = (df.dropna(subset=by) if by else df).withColumn("_slice", -slice_of(value) if descending else slice_of(value))
+    keys = ["_group", "_slice"] if by else ["_slice"]
+    sliced = with_slices(_grouped(df, by) if by else df, value)
+    if descending:
+        sliced = sliced.withColumn("_slice", -F.col("_slice"))
     order = F.desc(value) if descending else F.asc(value)
-    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys[:-1]).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(s) for s in sums])
-    starts = totals.select(
-        *by, "_slice", *[F.coalesce(F.sum(s).over(across), F.lit(0)).alias(f"_{s}_start") for s in sums])
-    return sliced.join(starts, [*by, "_slice"]).select(
+    totals = sliced.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
+    starts = totals.select(*keys, *[F.coalesce(F.sum(s).over(across), F.lit(0)).alias(f"_{s}_start") for s in sums])
+    return sliced.join(starts, keys).select(
         *df.columns,
         *[(F.col(f"_{s}_start") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"{s}_before") for s in sums])
 
@@ -55,23 +69,24 @@ def _interpolate(low: Column, high: Column, share: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles per group: (`by`..., n, quantiles array<double>). NULL groups are left out.
+    """Linear-interpolated quantiles per group: (`by`..., n, quantiles array<double>). NULL is a group like others.
 
     Distinct values are counted first (map-side combined, so a hot value is one row). Counts per slice locate the
     slices holding a wanted rank, and only those slices are ordered value by value.
     """
     by = list(by)
+    keys = ["_group", "_slice"] if by else ["_slice"]
     counts = (
-        (df.dropna(subset=by) if by else df).select(*by, as_column(value).cast("double").alias("_value"))
+        df.select(*by, as_column(value).cast("double").alias("_value"))
         .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
         .groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", slice_of("_value"))
     )
-    group = Window.partitionBy(*by)
+    counts = with_slices(_grouped(counts, by) if by else counts, "_value")
+    group = Window.partitionBy(*keys[:-1])
     upto = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
-        counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_count"))
-        .select(*by, "_slice", "_count", F.coalesce(F.sum("_count").over(upto), F.lit(0)).alias("_start"),
+        counts.groupBy(*keys).agg(F.sum("_n").alias("_count"))
+        .select(*keys, "_count", F.coalesce(F.sum("_count").over(upto), F.lit(0)).alias("_start"),
                 F.sum("_count").over(group).alias("n"))
     )
     wanted_points = F.array(*[F.lit(float(p)) for p in points])
@@ -87,8 +102,8 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     if not by:
         hot = F.broadcast(hot)  # at most two slices per point
 
-    inside = Window.partitionBy(*by, "_slice").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.join(hot, [*by, "_slice"]).select(
+    inside = Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(hot, keys).select(
         *by, "n", "_value", "_n", "_ranks",
         (F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_first"))
     held = placed.select(*by, "n", "_value", F.explode(F.filter(
@@ -121,15 +136,14 @@ def hashed_rank(df: DataFrame, key: str, by: Sequence[str], seed: int = 42) -> D
     """Adds `_rank` (from 0) and `_size` within each `by` group, in the order of the key's hash.
 
     Groups may be as few as two labels, so each is cut into hash slices: a slice's start comes from the slice counts
-    and only a slice is sorted in one task.
+    and only a slice is sorted in one task. NULL is a key and a group like others; NULL keys are in the first slice.
     """
-    by = list(by)
-    sliced = df.dropna(subset=[key, *by]).withColumn("_slice", F.coalesce(hash_bucket(key, RANK_SLICES, seed), F.lit(0)))
-    group = Window.partitionBy(*by)
+    sliced = _grouped(df, by).withColumn("_slice", F.coalesce(hash_bucket(key, RANK_SLICES, seed), F.lit(0)))
+    keys = ["_group", "_slice"]
+    group = Window.partitionBy("_group")
     upto = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, "_slice", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"),
-        F.sum("_n").over(group).alias("_size"))
-    inside = Window.partitionBy(*by, "_slice").orderBy(F.md5(quoted(key).cast("string").cast("binary")), quoted(key))
-    return sliced.join(starts, [*by, "_slice"]).select(
+    starts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(group).alias("_size"))
+    inside = Window.partitionBy(*keys).orderBy(F.md5(quoted(key).cast("string").cast("binary")), quoted(key))
+    return sliced.join(starts, keys).select(
         *df.columns, "_size", (F.col("_start") + F.row_number().over(inside) - 1).alias("_rank"))

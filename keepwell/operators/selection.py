@@ -36,11 +36,14 @@ def status_column(columns: Sequence[str], roles: dict[str, str | None]) -> str |
 
 
 def lookup(df: DataFrame, ids: DataFrame, key: str = "customerID") -> DataFrame:
-    """Every requested id with its record and a `found` flag; ids compare as text."""
+    """Every requested id with its record and a `found` flag; ids compare as text. Of several records of one id the
+    smallest counts, cell by cell from the left, NULL first."""
     wanted = ids.select(quoted(key).cast("string").alias("requested_id"))
-    records = df.withColumn("_key", quoted(key).cast("string")).withColumn("_found", F.lit(True))
-    joined = wanted.join(records, F.col("requested_id") == F.col("_key"), "left")
-    return joined.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_key", "_found")
+    records = df.withColumn("_key", quoted(key).cast("string"))
+    asked = records.join(wanted, F.col("_key") == F.col("requested_id"), "left_semi")
+    one = asked.groupBy("_key").agg(F.min(F.struct(*[quoted(c) for c in df.columns])).alias("_record"))
+    joined = wanted.join(one, F.col("requested_id") == F.col("_key"), "left")
+    return joined.select("requested_id", "_record.*", F.col("_key").isNotNull().alias("found"))
 
 
 def high_risk(scored: DataFrame, threshold: float = DEFAULT_POLICY.intervention) -> DataFrame:

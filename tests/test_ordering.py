@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keepwell.operators import ordering
 
@@ -26,7 +27,7 @@ def test_exact_quantiles_match_numpy(spark, numbers):
         mine = [v for k, v in numbers if k == g]
         assert whole[g]["n"] == len(mine)
         assert whole[g]["quantiles"] == [float(x) for x in np.quantile(mine, points)]
-    assert None not in whole
+    assert (whole[None]["n"], whole[None]["quantiles"][0]) == (1, 1.0)
 
 
 def test_quantiles_without_groups_match_pandas(spark, numbers):
@@ -58,10 +59,33 @@ def test_running_totals(spark, numbers, descending):
 def test_slices_never_decrease(spark):
     values = sorted([0.0, -1e300, 1e300, 5e-324, -5e-324, 1.0, 1 + 1e-15, -3.5] + [i / 977 for i in range(-500, 500)])
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    slices = [r[0] for r in df.orderBy("i").select(ordering.slice_of("v")).collect()]
+    slices = [r[0] for r in ordering.with_slices(df, "v").orderBy("i").select("_slice").collect()]
     assert slices == sorted(slices)
 
 
+@pytest.mark.parametrize("low, step", [(1.7e12, 1.0), (0.0, 1e-9), (1e15, 4.0)])
+def test_slices_are_even_wherever_the_values_lie(spark, low, step):
+    df = spark.range(100_000).select((F.lit(low) + F.col("id") * step).alias("v"))
+    sizes = [r["count"] for r in ordering.with_slices(df, "v").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) <= 4 * 100_000 / ordering.SLICES
+
+
+def test_null_groups_and_keys_stay(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), (None, 2.0, 1), (None, 4.0, 1)], "g string, v double, n long")
+    found = {r["g"]: (r["n"], r["quantiles"]) for r in ordering.exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert found == {"a": (1, [1.0]), None: (2, [3.0])}
+    totals = ordering.running_totals(df, "v", ["n"], ["g"]).collect()
+    assert sorted((r["v"], r["n_before"]) for r in totals) == [(1.0, 0), (2.0, 0), (4.0, 1)]
+    keyed = spark.createDataFrame([("k", "x"), (None, "x"), (None, None), ("k", "x")], "key string, g string")
+    ranks = ordering.hashed_rank(keyed, "key", ["g"]).collect()
+    assert sorted((r["g"] or "", r["_rank"], r["_size"]) for r in ranks) == [("", 0, 1), ("x", 0, 3), ("x", 1, 3), ("x", 2, 3)]
+
+
+def test_empty_column_has_no_quantiles(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert ordering.exact_quantiles(df, "v", [0.5], ["g"]).count() == 0
+
+
 def test_hashed_rank_is_a_permutation_of_each_group(spark):
     df = spark.createDataFrame([(f"k{i}", i % 7 == 0) for i in range(700)], "key string, big boolean")
     rows = ordering.hashed_rank(df, "key", ["big"]).collect()
