@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("place").alias("centre")).where("n > 1")
     members = stored(members.join(sizes, "bucket"), "buckets")
     sequences = stored(word_table(docs, members.select("key").distinct()), "sequences")
-    links = tested = classes = None
+    tested = classes = None
     width, found = 1, members.where("place = centre").select("bucket", F.col("key").alias("other")).join(
         members, "bucket").where("key <> other")
     while True:
@@ -175,7 +175,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
         good = stored(verified(pairs, sequences, least), "verified")
         if tested is not None and good.isEmpty():
             break
-        links = good if links is None else links.unionByName(good)
+        links = good.select("a", "b")
+        if classes is not None:  # earlier links are known by their classes
+            links = links.union(classes.where("key <> component").select("key", "component"))
         classes = components(links)
         tested = pairs if tested is None else tested.unionByName(pairs)
         members = members.where(F.col("n") > max(width, 2)).join(classes, "key", "left").select(
