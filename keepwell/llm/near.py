@@ -82,39 +82,49 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     return None
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """The smaller of two shares, 0 when either is under `least`: shared shingles among all (Jaccard, occurrences counted),
-    and 1 - edit distance / longer length, by banded alignment of the words."""
-    one, other = shingles(a), shingles(b)
-    small, large = sorted((len(one), len(other)))
-    if not large or small < least * large:
+def sorted_shingles(values: np.ndarray) -> np.ndarray:
+    return np.sort(as_signed(shingles(values)))
+
+
+def jaccard(one: np.ndarray, other: np.ndarray, least: float) -> float:
+    """Shared among all values of two sorted arrays without repeats; 0 when their sizes alone rule `least` out."""
+    small, large = sorted((one, other), key=len)
+    if not len(large) or len(small) < least * len(large):
         return 0.0
-    shared = len(np.intersect1d(one, other, assume_unique=True))
-    jaccard = shared / (small + large - shared)
-    if jaccard < least:
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    shared = np.count_nonzero(large[at] == small)
+    return shared / (len(small) + len(large) - shared)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, one: np.ndarray | None = None,
+               other: np.ndarray | None = None) -> float:
+    """The smaller of two shares, 0 when either is under `least`: shared shingles among all (Jaccard, occurrences counted),
+    and 1 - edit distance / longer length, by banded alignment of the words. `one` and `other` are the sorted shingles, if known."""
+    found = jaccard(sorted_shingles(a) if one is None else one, sorted_shingles(b) if other is None else other, least)
+    if found < least:
         return 0.0
     longer = max(len(a), len(b))
     distance = edit_distance(a, b, int((1 - least) * longer + 1e-9))
-    return 0.0 if distance is None else min(jaccard, 1 - distance / longer)
+    return 0.0 if distance is None else min(found, 1 - distance / longer)
 
 
 def sketch_table(docs: DataFrame, sketches: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
-    """key, digest binary, sketch array<long> of every row; no sketch without words."""
+    """key, digest binary, n (shingles), sketch array<long> of every row; no sketch without words."""
 
     def run(batches):
         for block in text_blocks(batches):
             data, offsets = flat(block.column("text"))
             _, _, values, first = words(data, offsets)
-            found = [as_signed(sketch(shingles(values[s:e]), sketches, minima)) for s, e in zip(first[:-1], first[1:], strict=True)]
-            yield pa.record_batch([block.column("key"), block.column("digest"), pa.array(found, pa.list_(pa.int64()))],
-                                  ["key", "digest", "sketch"])
+            found = [shingles(values[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
+            yield pa.record_batch([block.column("key"), block.column("digest"), pa.array([len(x) for x in found], pa.int32()), pa.array(
+                [as_signed(sketch(x, sketches, minima)) for x in found], pa.list_(pa.int64()))], ["key", "digest", "n", "sketch"])
 
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
-    return with_key(docs).select("key", digest, "text").mapInArrow(run, f"{KEY}, digest binary, sketch array<long>")
+    return with_key(docs).select("key", digest, "text").mapInArrow(run, f"{KEY}, digest binary, n int, sketch array<long>")
 
 
 def word_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """key, words array<int> (32-bit hashes) of the chosen keys."""
+    """key, words array<int> (32-bit hashes), shingles array<long> (of these, sorted) of the chosen keys."""
     rows = with_key(docs).select("key", "text").join(chosen, "key", "left_semi")
 
     def run(batches):
@@ -122,25 +132,32 @@ def word_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             data, offsets = flat(block.column("text"))
             _, _, values, first = words(data, offsets)
             short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.record_batch([block.column("key"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(short))],
-                                  ["key", "words"])
+            wide = short.astype(np.int64).astype(np.uint64)
+            found = [sorted_shingles(wide[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
+            yield pa.record_batch([block.column("key"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(short)),
+                                   pa.array(found, pa.list_(pa.int64()))], ["key", "words", "shingles"])
+
+    return rows.mapInArrow(run, f"{KEY}, words array<int>, shingles array<long>").dropDuplicates(["key"])
+
 
-    return rows.mapInArrow(run, f"{KEY}, words array<int>").dropDuplicates(["key"])
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column without nulls."""
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(), ends[:-1])
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """a, b, similarity of the pairs that are similar enough."""
-    one, other = (sequences.select(F.col("key").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "words_a", "words_b")
+    one, other = (sequences.toDF(x, f"words_{x}", f"shingles_{x}") for x in "ab")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "words_a", "words_b", "shingles_a", "shingles_b")
 
     def run(batches):
         for batch in batches:
-            for part in range(0, len(batch), 100):
-                rows = batch.slice(part, 100)
-                values = [[np.asarray(v, np.int64).astype(np.uint64) for v in rows.column(c).to_numpy(zero_copy_only=False)]
-                          for c in ("words_a", "words_b")]
-                found = np.array([similarity(x, y, least) for x, y in zip(*values, strict=True)])
-                yield pa.record_batch([rows.column("a"), rows.column("b"), pa.array(found)], ["a", "b", "similarity"])
+            if not len(batch):
+                continue
+            lists = [arrays(batch.column(c)) for c in ("words_a", "words_b", "shingles_a", "shingles_b")]
+            found = [similarity(a, b, least, one, other) for a, b, one, other in zip(*lists, strict=True)]
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     schema = f"{KEY.replace('key', 'a', 1)}, {KEY.replace('key', 'b', 1)}, similarity double"
     return both.mapInArrow(run, schema).where(F.col("similarity") > 0)
@@ -154,23 +171,24 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     the bucket's centre, the text with the smallest hash in one of four orders; a pair that shares several sketches meets
     several centres. Where a bucket still holds texts of different classes, four times as many centres meet the texts of
     other classes, and so on until a round links nothing more or every text has been a centre. A bucket of copies
-    costs one pair each, not all pairs. Empty and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
+    costs one pair each, not all pairs. Texts whose numbers of shingles alone rule the similarity out don't meet. Empty and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
     """
     table = stored(sketch_table(docs, sketches, minima), "sketches")
-    texts = stored(table.groupBy("digest").agg(F.min(F.struct("key", "sketch")).alias("least")).select(
-        "digest", "least.key", "least.sketch"), "texts")
-    exploded = texts.select("key", F.posexplode("sketch").alias("band", "value"))
+    texts = stored(table.groupBy("digest").agg(F.min(F.struct("key", "n", "sketch")).alias("least")).select(
+        "digest", "least.key", F.col("least.n").alias("length"), "least.sketch"), "texts")
+    exploded = texts.select("key", "length", F.posexplode("sketch").alias("band", "value"))
     # four orders of the texts, so that near copies meet few different centres
     place = (F.xxhash64("key", F.col("band") % 4) / F.lit(2.0**64) + F.lit(0.5)).alias("place")
-    members = exploded.select(F.struct("band", "value").alias("bucket"), "key", place)
+    members = exploded.select(F.struct("band", "value").alias("bucket"), "key", "length", place)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("place").alias("centre")).where("n > 1")
     members = stored(members.join(sizes, "bucket"), "buckets")
     sequences = stored(word_table(docs, members.select("key").distinct()), "sequences")
     tested = classes = None
-    width, found = 1, members.where("place = centre").select("bucket", F.col("key").alias("other")).join(
-        members, "bucket").where("key <> other")
+    near_length = F.least("length", "other_length") >= least * F.greatest("length", "other_length")
+    width, found = 1, members.where("place = centre").select("bucket", F.col("key").alias("other"), F.col("length").alias(
+        "other_length")).join(members, "bucket").where("key <> other")
     while True:
-        pairs = found.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        pairs = found.where(near_length).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         good = stored(verified(pairs, sequences, least), "verified")
         if tested is not None and good.isEmpty():
@@ -181,14 +199,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
         classes = components(links)
         tested = pairs if tested is None else tested.unionByName(pairs)
         members = members.where(F.col("n") > max(width, 2)).join(classes, "key", "left").select(
-            "bucket", "key", "place", "n", F.coalesce("component", "key").alias("component"))
+            "bucket", "key", "length", "place", "n", F.coalesce("component", "key").alias("component"))
         mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         members = stored(members.join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
         if members.isEmpty():
             break
         width *= 4
         centres = members.where(F.col("place") * F.col("n") < width).select(
-            "bucket", F.col("key").alias("other"), F.col("component").alias("other_component"))
+            "bucket", F.col("key").alias("other"), F.col("length").alias("other_length"), F.col("component").alias("other_component"))
         found = members.join(centres, "bucket").where("component <> other_component")
         members = members.drop("component")
     named = texts.select("digest", F.col("key").alias("text_key"))

@@ -286,3 +286,27 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "personal_data", "packing"]
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_by_union_find(spark, few):
+    """A chain, a star with a null id and random links, by rounds alone and with the finish in one task."""
+    from keepwell.llm.components import components
+
+    draw = np.random.RandomState(3).randint(200, 400, (90, 2)).tolist()
+    links = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 50)] + [(a, b) for a, b in draw if a != b]
+    up = {}
+
+    def root(key):
+        while up.setdefault(key, key) != key:
+            key = up[key]
+        return key
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    key = "struct<doc_id:long,version:long>"
+    rows = spark.createDataFrame([((a or None, 1), (b, 1)) for a, b in links], f"a {key}, b {key}")
+    found = {r.key.doc_id or 0: r.component.doc_id or 0 for r in components(rows, few).collect()}
+    assert found == {k: root(k) for k in up}
+    assert components(rows.limit(0), few).count() == 0
