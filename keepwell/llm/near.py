@@ -13,6 +13,9 @@ from keepwell.llm.lines import KEY, with_key
 
 #: Words of a shingle, least similarity, sketches of a document, and shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 5
+#: Texts of at most so many shingles are also filed by single shingles, as sketches often differ for them; cells of the
+#: table of shingle frequencies.
+SHORT, CELLS = 20, 1 << 18
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _WIDE = 50_000
 
@@ -108,19 +111,28 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, one: np.
     return 0.0 if distance is None else min(found, 1 - distance / longer)
 
 
-def sketch_table(docs: DataFrame, sketches: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
-    """key, digest binary, n (shingles), sketch array<long> of every row; no sketch without words."""
+def prefix(n: int, least: float) -> int:
+    """How many of the n shingles of a text, the first in any one order, hold one of each text that is `least` like it."""
+    return n - int(np.ceil(least * n - 1e-9)) + 1
+
+
+def sketch_table(docs: DataFrame, sketches: int = SKETCHES, minima: int = MINIMA, least: float = SIMILARITY) -> DataFrame:
+    """key, digest binary, n (shingles), sketch array<long>, single array<long> of every row; no sketch without words.
+    Two texts of which one has at most SHORT shingles share one of `single`, if they are `least` alike."""
 
     def run(batches):
         for block in text_blocks(batches):
             data, offsets = flat(block.column("text"))
             _, _, values, first = words(data, offsets)
             found = [shingles(values[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
+            single = [as_signed(np.sort(x)[:prefix(len(x), least)] if 0 < len(x) * least <= SHORT else x[:0]) for x in found]
             yield pa.record_batch([block.column("key"), block.column("digest"), pa.array([len(x) for x in found], pa.int32()), pa.array(
-                [as_signed(sketch(x, sketches, minima)) for x in found], pa.list_(pa.int64()))], ["key", "digest", "n", "sketch"])
+                [as_signed(sketch(x, sketches, minima)) for x in found], pa.list_(pa.int64())), pa.array(single, pa.list_(pa.int64()))],
+                ["key", "digest", "n", "sketch", "single"])
 
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
-    return with_key(docs).select("key", digest, "text").mapInArrow(run, f"{KEY}, digest binary, n int, sketch array<long>")
+    return with_key(docs).select("key", digest, "text").mapInArrow(
+        run, f"{KEY}, digest binary, n int, sketch array<long>, single array<long>")
 
 
 def word_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -163,52 +175,106 @@ def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, schema).where(F.col("similarity") > 0)
 
 
+def frequencies(sequences: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each cell. The table has a fixed size, 1 MB; shingles of one cell count together."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("shingles").flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+        found = np.flatnonzero(total)
+        for part in range(0, len(found), 1 << 14):
+            cells = found[part:part + (1 << 14)]
+            yield pa.record_batch([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    summed = sequences.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+    return out
+
+
+def alike(sequences: DataFrame, least: float) -> DataFrame:
+    """a, b: of the texts with key, component, shingles, all pairs of different components whose Jaccard may reach `least`.
+
+    Shingles are ordered from the rarest. Two texts that are `least` alike share one of their first shingles, and the first
+    one they share leaves room for as many as they must share behind it in both. So a shingle of a frequent passage only
+    pairs texts that consist of little else. Texts of a shingle's largest component meet the others, not each other; of
+    several shingles held by the same texts the rarest is enough.
+    """
+    shared = sequences.sparkSession.sparkContext.broadcast(frequencies(sequences))
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            values, owner, place, size = [], [], [], []
+            for row, x in enumerate(arrays(batch.column("shingles"))):
+                first = prefix(len(x), least)
+                values.append(x[np.lexsort((x, shared.value[x & (CELLS - 1)]))[:first]])
+                owner.append(np.full(first, row))
+                place.append(np.arange(first))
+                size.append(np.full(first, len(x)))
+            at, value = pa.array(np.concatenate(owner)), np.concatenate(values)
+            yield pa.record_batch([
+                batch.column("key").take(at), batch.column("component").take(at), pa.array(value), pa.array(shared.value[value & (CELLS - 1)]),
+                pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(size), pa.int32())],
+                ["key", "component", "shingle", "rank", "place", "length"])
+
+    kinds = f"{KEY}, {KEY.replace('key', 'component', 1)}, shingle long, rank long, place int, length int"
+    first = stored(sequences.mapInArrow(run, kinds), "prefixes")
+    sizes = sequences.groupBy("component").agg(F.count("*").alias("n"))
+    held = first.join(sizes, "component").groupBy("shingle").agg(
+        F.min("rank").alias("rank"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("key")).alias("mark"), F.max(F.struct("n", "component"))["component"].alias("major")).where("low <> high")
+    rarest = held.groupBy("n", "mark").agg(F.min(F.struct("rank", "shingle", "major")).alias("least")).select("least.shingle", "least.major")
+    first = stored(first.join(rarest, "shingle").drop("rank"), "prefixes")
+    one = first.where("component <> major").drop("major")
+    other = first.drop("major").toDF("shingle", "other", "other_component", "other_place", "other_length")
+    room = F.least(F.col("length") - F.col("place"), F.col("other_length") - F.col("other_place"))
+    enough = room + F.lit(1e-6) >= least / (1 + least) * (F.col("length") + F.col("other_length"))
+    met = one.join(other, "shingle").where((F.col("component") != F.col("other_component")) & enough)
+    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES,
                     minima: int = MINIMA) -> DataFrame:
     """key, class_key, for every row: the class of near-duplicates it is in, named by its smallest key.
 
-    Equal texts are one text. Different texts that share a sketch are compared in rounds. First each text of a bucket meets
-    the bucket's centre, the text with the smallest hash in one of four orders; a pair that shares several sketches meets
-    several centres. Where a bucket still holds texts of different classes, four times as many centres meet the texts of
-    other classes, and so on until a round links nothing more or every text has been a centre. A bucket of copies
-    costs one pair each, not all pairs. Texts whose numbers of shingles alone rule the similarity out don't meet. Empty and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
+    Equal texts are one text. Different texts that share a sketch (or, with few shingles, one of some single shingles) are
+    candidates. First each text of a bucket meets the bucket's centre, the text with the smallest hash in one of five orders,
+    and the links found make classes. Then the texts of all buckets that still hold different classes meet every text of
+    another class that can be similar by its shingles (`alike`), so no link between classes is missed. A bucket of
+    copies costs one pair each, not all pairs. Texts whose numbers of shingles alone rule the similarity out don't meet. Empty
+    and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
     """
-    table = stored(sketch_table(docs, sketches, minima), "sketches")
-    texts = stored(table.groupBy("digest").agg(F.min(F.struct("key", "n", "sketch")).alias("least")).select(
-        "digest", "least.key", F.col("least.n").alias("length"), "least.sketch"), "texts")
-    exploded = texts.select("key", "length", F.posexplode("sketch").alias("band", "value"))
-    # four orders of the texts, so that near copies meet few different centres
-    place = (F.xxhash64("key", F.col("band") % 4) / F.lit(2.0**64) + F.lit(0.5)).alias("place")
-    members = exploded.select(F.struct("band", "value").alias("bucket"), "key", "length", place)
+    table = stored(sketch_table(docs, sketches, minima, least), "sketches")
+    texts = stored(table.groupBy("digest").agg(F.min(F.struct("key", "n", "sketch", "single")).alias("least")).select(
+        "digest", "least.key", F.col("least.n").alias("length"), "least.sketch", "least.single"), "texts")
+    filed = F.concat(F.transform("sketch", lambda value, band: F.struct(band.alias("band"), value.alias("value"))),
+                     F.transform("single", lambda value: F.struct(F.lit(-1).alias("band"), value.alias("value"))))
+    exploded = texts.select("key", "length", F.explode(filed).alias("bucket"))
+    # few orders of the texts, so that near copies meet few different centres
+    place = F.xxhash64("key", F.col("bucket.band") % 4).alias("place")
+    members = exploded.select("bucket", "key", "length", place)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("place").alias("centre")).where("n > 1")
     members = stored(members.join(sizes, "bucket"), "buckets")
     sequences = stored(word_table(docs, members.select("key").distinct()), "sequences")
-    tested = classes = None
     near_length = F.least("length", "other_length") >= least * F.greatest("length", "other_length")
-    width, found = 1, members.where("place = centre").select("bucket", F.col("key").alias("other"), F.col("length").alias(
+    found = members.where("place = centre").select("bucket", F.col("key").alias("other"), F.col("length").alias(
         "other_length")).join(members, "bucket").where("key <> other")
-    while True:
-        pairs = found.where(near_length).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = stored(verified(pairs, sequences, least), "verified")
-        if tested is not None and good.isEmpty():
-            break
-        links = good.select("a", "b")
-        if classes is not None:  # earlier links are known by their classes
-            links = links.union(classes.where("key <> component").select("key", "component"))
-        classes = components(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        members = members.where(F.col("n") > max(width, 2)).join(classes, "key", "left").select(
-            "bucket", "key", "length", "place", "n", F.coalesce("component", "key").alias("component"))
-        mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        members = stored(members.join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
-        if members.isEmpty():
-            break
-        width *= 4
-        centres = members.where(F.col("place") * F.col("n") < width).select(
-            "bucket", F.col("key").alias("other"), F.col("length").alias("other_length"), F.col("component").alias("other_component"))
-        found = members.join(centres, "bucket").where("component <> other_component")
-        members = members.drop("component")
+    pairs = found.where(near_length).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    tested = stored(pairs, "pairs")
+    classes = components(stored(verified(tested, sequences, least), "verified").select("a", "b"))
+    members = members.where("n > 2").join(classes, "key", "left").select(
+        "bucket", "key", F.coalesce("component", "key").alias("component"))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    left = stored(members.join(mixed.select("bucket"), "bucket", "left_semi").select("key", "component").distinct(), "mixed")
+    if not left.isEmpty():
+        chosen = stored(sequences.select("key", "shingles").join(left, "key"), "chosen")
+        pairs = stored(alike(chosen, least).join(tested, ["a", "b"], "left_anti"), "pairs")
+        good = stored(verified(pairs, sequences, least), "verified").select("a", "b")
+        if not good.isEmpty():  # earlier links are known by their classes
+            classes = components(good.union(classes.where("key <> component").select("key", "component")))
     named = texts.select("digest", F.col("key").alias("text_key"))
     out = table.select("key", "digest").join(named, "digest")
     return out.join(classes.withColumnRenamed("key", "text_key"), "text_key", "left").select("key", F.coalesce("component", "text_key").alias("class_key"))

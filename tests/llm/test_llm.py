@@ -177,6 +177,19 @@ def test_near_duplicates_by_brute_force(spark, documents, odd, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_large_mixed_buckets(spark):
+    passage = " ".join(f"common{k}" for k in range(76))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(28))) for i in range(200)]
+    rows += [(1000 + i, f"{text} more") for i, text in rows[100:110]]
+    rows += [(2000, "one two three four five six seven eight"), (2001, "one two three four five six seven eight nine")]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), sketches=1, minima=1).collect()
+    classes = {r.key.doc_id: r.class_key.doc_id for r in found}
+    assert classes == {i: i - 1000 if 1000 <= i < 2000 else min(i, 2000) for i, _ in rows}
+    # four of five shingles are shared
+    short = near.near_duplicates(spark.createDataFrame(rows[-2:], "doc_id long, text string")).collect()
+    assert {r.class_key.doc_id for r in short} == {2000}
+
+
 def test_banded_alignment():
     chance = np.random.RandomState(3)
     for _ in range(200):
