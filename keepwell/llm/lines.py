@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import hash_spans, stored, text_blocks
+from keepwell.llm.common import BASE, hash_spans, mix, stored, text_blocks
 
 #: An aligned block is deleted if it has at least so many words.
 LEAST_WORDS = 5
@@ -34,9 +34,39 @@ def line_codes(lines: list[str]) -> list[int]:
     return [int(h) if p else 0 for h, p in zip(found, parts, strict=True)]
 
 
+def lengths(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of `one` and each beginning of `other`, the empty one first."""
+    row = np.zeros(len(other) + 1, np.int64)
+    for code in one:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (other == code)))
+    return row
+
+
+def common(one: list[int], other: list[int]) -> list[tuple[int, int]]:
+    """Aligned pairs of a longest common subsequence, by halves of `one` (Hirschberg), so in linear space."""
+    both = set(one) & set(other)
+    (at, a), (bt, b) = (([k for k, c in enumerate(x) if c in both], np.array([c for c in x if c in both], np.int64)) for x in (one, other))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((at[a0], bt[b0]))
+            a0, b0 = a0 + 1, b0 + 1
+        if a1 - a0 == 1:
+            found = np.flatnonzero(b[b0:b1] == a[a0])
+            out += [(at[a0], bt[b0 + int(found[0])])] if len(found) else []
+        elif a0 < a1 and b0 < b1:
+            half = (a0 + a1) // 2
+            split = b0 + int((lengths(a[a0:half], b[b0:b1]) + lengths(a[half:a1][::-1], b[b0:b1][::-1])[::-1]).argmax())
+            todo += [(a0, half, b0, split), (half, a1, split, b1)]
+    return sorted(out)
+
+
 def patience(one: list[int], other: list[int]) -> list[tuple[int, int]]:
     """Aligned pairs of equal lines, in order in both: lines that are unique in both anchor the alignment (longest
-    increasing subsequence), equal neighbours extend it, and the gaps between are aligned in the same way."""
+    increasing subsequence), equal neighbours extend it, and the gaps between are aligned in the same way; a gap without such
+    lines is aligned by a longest common subsequence."""
     matched: list[tuple[int, int]] = []
     todo = [(0, len(one), 0, len(other))]
     while todo:
@@ -57,6 +87,8 @@ def patience(one: list[int], other: list[int]) -> list[tuple[int, int]]:
             seen[one[i]] = -1 if one[i] in seen else i
         shared = [(i, place[code]) for code, i in seen.items() if code and i >= 0 and place.get(code, -1) >= 0]
         if not shared:
+            if any(code and code in place for code in seen):
+                matched += [(a0 + i, b0 + j) for i, j in common(one[a0:a1], other[b0:b1])]
             continue
         ends: list[int] = []
         best: list[int] = []
@@ -91,28 +123,67 @@ def repeated(earlier: list[int], later: list[int], sizes: list[int], least_words
     return out
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """key, lines array<long>, sizes array<int> (words) of every row."""
+def runs(codes: list[int], sizes: list[int], least_words: int) -> list[int]:
+    """Codes by which a document is linked: its lines, neighbouring lines that are not blank, and from and up to each line
+    the shortest run of lines with enough words. Each line of a block that may be deleted is in such a run inside the block."""
+    filled = [k for k, code in enumerate(codes) if code]
+    spans = {(a, b + 1) for a, b in zip(filled, filled[1:])}
+    start = words = 0
+    for end in filled:
+        words += sizes[end]
+        while words - sizes[start] >= least_words:
+            words -= sizes[start]
+            start += 1
+        if words >= least_words:
+            spans.add((start, end + 1))  # the last start for this end
+    end = len(codes)
+    words = 0
+    for start in reversed(filled):
+        words += sizes[start]
+        while words - sizes[end - 1] >= least_words:
+            end -= 1
+            words -= sizes[end]
+        if words >= least_words:
+            spans.add((start, end))
+    values = np.array(codes, np.int64).view(np.uint64)
+    by_size: dict[int, list[int]] = {}
+    for a, b in spans:
+        if b - a > 1:
+            by_size.setdefault(b - a, []).append(a)
+    found = {code for code in codes if code}
+    for size, at in by_size.items():
+        total = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            total = mix(total * BASE + values[np.array(at) + k])
+        found.update(map(int, total.view(np.int64)))
+    return list(found)
+
+
+def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """key, lines array<long>, sizes array<int> (words), runs array<long> of every row."""
 
     def run(batches):
         for block in text_blocks(batches):
             lines = [split_lines(t) for t in block.column("text").to_pylist()]
+            codes, sizes = [line_codes(x) for x in lines], [[len(line.split()) for line in x] for x in lines]
+            linked = [runs(c, n, least_words) for c, n in zip(codes, sizes, strict=True)]
             yield pa.record_batch([
-                block.column("key"), pa.array([line_codes(x) for x in lines], pa.list_(pa.int64())),
-                pa.array([[len(line.split()) for line in x] for x in lines], pa.list_(pa.int32()))], ["key", "lines", "sizes"])
+                block.column("key"), pa.array(codes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())),
+                pa.array(linked, pa.list_(pa.int64()))], ["key", "lines", "sizes", "runs"])
 
-    return with_key(docs).select("key", "text").mapInArrow(run, f"{KEY}, lines array<long>, sizes array<int>")
+    return with_key(docs).select("key", "text").mapInArrow(run, f"{KEY}, lines array<long>, sizes array<int>, runs array<long>")
 
 
 def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """key, removed array<int>: the lines to delete of each document that has any.
 
-    A line held by several documents links each later one to the first that holds it; the two are aligned. So every line of
-    a document that an earlier one holds is looked at, however frequent it is, and no document is paired with more others
-    than it has lines.
+    A line or run of lines (`runs`) held by several documents links each later one to the first that holds it; the two are
+    aligned. So every block of a document that any earlier one holds is looked at, however frequent it is, and no document
+    is paired with more others than four times its lines.
     """
-    table = stored(line_table(docs), "lines").dropDuplicates(["key"])
-    held = table.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    table = stored(line_table(docs, least_words), "lines").dropDuplicates(["key"])
+    held = table.select("key", F.explode("runs").alias("line"))
+    table = table.drop("runs")
     first = held.groupBy("line").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = held.join(first, "line").where("key <> first").select("first", "key").distinct()
     early = table.select(F.col("key").alias("first"), F.col("lines").alias("early"))

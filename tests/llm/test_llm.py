@@ -124,6 +124,26 @@ def test_line_dedup(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_documents(empty).count() == 0
 
 
+def test_line_dedup_meets_every_earlier_holder(spark):
+    short = [f"short line {k}" for k in range(6)]
+    one, two = "the first line has six words", "the second line has six words"
+    rows = [(k, f"text {k} alone\n{line}\nend {k} here") for k, line in enumerate(short)]
+    rows += [(10, "\n".join(short)), (11, "\n".join(short)), (20, f"{two}\n{one}"), (21, f"{one}\n{two}"), (22, f"{one}\n{two}")]
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[10] == 0 and found[11] == 6 and found[22] == 2
+    chance = np.random.RandomState(5)
+    for _ in range(200):
+        a, b = ([int(x) for x in chance.randint(1, 5, chance.randint(1, 12))] for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        pairs = lines.common(a, b)
+        assert len(pairs) == table[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    assert len(lines.patience([9, 1, 2, 1, 2, 8], [7, 1, 2, 1, 2, 6])) == 4
+
+
 def test_personal_data_by_plain_patterns(spark, documents):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
