@@ -60,6 +60,21 @@ def emails(text: str):
         at = text.find("@", floor)
 
 
+def accounts(text: str):
+    """Account codes that pass their check, leftmost first; where the longest proposal fails, each shorter one that ends with a
+    group of characters is tried, then the next start."""
+    found = IBAN.search(text)
+    while found:
+        start, at = found.start(), found.start() + 1
+        for end in [found.end(), *(start + m.start() for m in reversed([*re.finditer(" ", found[0])]))]:
+            code = text[start:end].replace(" ", "")
+            if 15 <= len(code) <= 34 and mod97(code):
+                yield start, end
+                at = end
+                break
+        found = IBAN.search(text, at)
+
+
 def small_part(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or "0") <= 255
@@ -86,8 +101,7 @@ def find(text: str) -> list[Span]:
                 hits.append(("card", *m.span()))
         hits += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
         base = sorted((s, e) for _, s, e in hits)
-        more = [("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34
-                and mod97(m[0].replace(" ", ""))]
+        more = [("iban", s, e) for s, e in accounts(text)]
         more += [("ssn", *m.span()) for m in SSN.finditer(text)]
         hits += [(k, s, e) for k, s, e in more if not any(a < e and s < b for a, b in base)]
     spans = [(k, s, e, min(1.0, BASE_SCORE[k] + CONTEXT_BONUS * context(text, k, s, e))) for k, s, e in hits]

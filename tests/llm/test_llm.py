@@ -171,6 +171,13 @@ def test_personal_data_checks_and_context(odd, empty):
     assert pii.personal_data(odd).where("doc_id = 1 and spans = '' and masked is null").count() == 1
 
 
+def test_account_codes_before_other_words():
+    for code, after in (("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " EUR 100"),
+                        ("DE89370400440532013000", "")):
+        for before in ("IBAN ", "AB12 "):
+            assert [x[:3] for x in pii.find(before + code + after) if x[0] == "iban"] == [("iban", 5, 5 + len(code))]
+
+
 def test_near_duplicates_by_brute_force(spark, documents, odd, empty):
     from keepwell.llm.common import words
 
