@@ -5,6 +5,7 @@ Models are small here so that checking is quick, but every account is trained on
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,6 +156,36 @@ def i13(spark, sf):
     return training.cross_validate(frame(spark, sf), SETTINGS)
 
 
+SIDES = range(6)  # without each of five folds, and at last all training rows
+SIDE_ROWS = f"tr as (select *, {BUCKET} % 5 as fold from la where {BUCKET} % 100 >= 20)"
+
+
+def sides(spark, sf):
+    full = training.TrainingSettings()
+    return training.fold_sides(training.training_rows(training.prepare(uploaded(spark, sf), full)), full)
+
+
+@query("i13_fold_statistics", over("accounts", LABELLED, SIDE_ROWS) + " union all ".join(
+    f"""select {s} as side, '{c}' as "column", median, round(avg(coalesce({c}, median)), 9) as mean,
+      round(stddev_samp(coalesce({c}, median)), 9) as deviation
+    from tr, (select median({c})::double as median from tr where fold <> {s}) where fold <> {s} group by median"""
+    for s in SIDES for c in NUMERIC))
+def i13_statistics(spark, sf):
+    """What preprocessing learns without each fold and from all rows, from one scan."""
+    rows = [(s, c, side.medians[c], side.means[c], side.deviations[c]) for s, side in enumerate(sides(spark, sf)) for c in NUMERIC]
+    found = spark.createDataFrame(rows, "side int, `column` string, median double, mean double, deviation double")
+    return found.withColumns({c: F.round(c, 9) for c in ("mean", "deviation")})
+
+
+@query("i13_fold_modes", over("accounts", LABELLED, SIDE_ROWS) + " union all ".join(
+    f"""(select {s} as side, '{c}' as "column", {c} as mode, (select count(distinct {c}) from tr where fold <> {s}) as categories
+    from tr where fold <> {s} and {c} is not null group by {c} order by count(*) desc, {c} limit 1)"""
+    for s in SIDES for c in CATEGORICAL))
+def i13_modes(spark, sf):
+    rows = [(s, c, side.modes[c], len(side.categories[c])) for s, side in enumerate(sides(spark, sf)) for c in CATEGORICAL]
+    return spark.createDataFrame(rows, "side int, `column` string, mode string, categories long")
+
+
 @query("i14_holdout")
 def i14(spark, sf):
     return training.holdout(frame(spark, sf), SETTINGS)
@@ -177,7 +208,7 @@ SMALL_SPACE = {"n_estimators": [5, 10], "learning_rate": [0.05, 0.1], "max_depth
 
 @query("i16_random_search")
 def i16(spark, sf):
-    results, _ = training.random_search(frame(spark, sf), SETTINGS, [LOGISTIC, BOOSTING], {BOOSTING: SMALL_SPACE})
+    results = training.random_search(frame(spark, sf), SETTINGS, [LOGISTIC, BOOSTING], {BOOSTING: SMALL_SPACE})
     return training.tuning_summary(spark, results)
 
 
@@ -254,6 +285,36 @@ def i20_sums(spark, sf):
         F.max("features").alias("features"))
 
 
+FORESTS: dict[tuple[str, str], str] = {}
+
+
+def full_forest(spark, sf):
+    """A forest with the default settings (300 trees, no depth limit), fitted and saved once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in FORESTS:
+        full, path = training.TrainingSettings(), new_path(spark, "forest")
+        data = training.prepare(uploaded(spark, sf), full)
+        training.fit_and_predict(
+            training.training_rows(data), data.where("split = 'test'"),
+            lambda rows: {FOREST: training.candidates(full, rows)[FOREST]}, full, new_path(spark, "forest-rows"))[
+                FOREST].write().save(path)
+        FORESTS[key] = path
+    return PipelineModel.load(FORESTS[key])
+
+
+@query("i20_explain_forest_add_up", over("accounts") + """
+select count(*) as customers, 0 as off, 45 as features from accounts""")
+def i20_forest(spark, sf):
+    """For every account, base value and contributions of a forest of full depth add up to its probability."""
+    data, model = uploaded(spark, sf), full_forest(spark, sf)
+    explained = explaining.explain(data, model).groupBy("customerID").agg(
+        (F.sum("shap") + F.max("base")).alias("total"), F.count("*").alias("features"))
+    scored = model.transform(typed_accounts(data)).select("customerID", vector_to_array("probability")[1].alias("p"))
+    return explained.join(scored, "customerID").agg(
+        F.count("*").alias("customers"), F.count_if(F.abs(F.col("total") - F.col("p")) > 1e-9).alias("off"),
+        F.max("features").alias("features"))
+
+
 @query("i21_renewal")
 def i21(spark, sf):
     customers = views.customers(spark, sf)

@@ -38,12 +38,13 @@ def e01_accounts(spark, sf):
     return profiling.overview(clean_accounts(spark, sf))
 
 
-ITEM_COLUMNS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+ITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query("e01_overview_lineitem", _overview(ITEM_COLUMNS, "lineitem"))
 def e01_lineitem(spark, sf):
-    return profiling.overview(table(spark, sf, "lineitem").select(*ITEM_COLUMNS))
+    return profiling.overview(table(spark, sf, "lineitem"))
 
 
 PROFILE = " union all ".join(
@@ -73,6 +74,24 @@ def e02_sketch(spark, sf):
 FEATURES = [n for n in NAMES if n not in ("customerID", "Churn")]
 
 
+@query("e02_profile_sketch_bound", " union all ".join(
+    f"select '{c}' as \"column\", true as within" for c in ["doc_id", "text", "lang", "source", "n_chars"]))
+def e02_sketch_bound(spark, sf):
+    """Whole documents: the sketch's distinct counts are within 5 % of the exact ones, which count long texts by digest."""
+    docs = table(spark, sf, "documents")
+    sketch = profiling.profile(docs, exact=False).select("column", F.col("unique").alias("near"))
+    return profiling.profile(docs).join(sketch, "column").select(
+        "column", (F.abs(F.col("near") - F.col("unique")) <= F.greatest(F.col("unique") * 0.05, F.lit(1))).alias("within"))
+
+
+@query("e02_profile_documents", " union all ".join(
+    f"select {i} as position, '{c}' as \"column\", '{t}' as type, count(*) filter ({c} is null) as missing, "
+    f"count(distinct {c}) as unique from documents" for i, (c, t) in enumerate(
+        [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")], start=1)))
+def e02_documents(spark, sf):
+    return profiling.profile(table(spark, sf, "documents"))
+
+
 @query("e03_missing_by_feature", over("accounts", CLEAN) + """select "column", missing from (""" + " union all ".join(
     f"select {i} as position, '{c}' as \"column\", count(*) filter ({c} is null) as missing from ca"
     for i, c in enumerate(FEATURES)) + ") order by missing desc, position limit 10")
@@ -107,6 +126,20 @@ def e05_customers(spark, sf):
     return stable(profiling.business_kpis(views.customers(spark, sf), found), "value")
 
 
+@query("e05_business_kpis_exact", """
+select 1 as position, 'Records' as metric, count(*)::double as value from lineitem
+union all select 2, 'Average charge', sum(cast(round(l_extendedprice * 1e3) as bigint) + l_linenumber)::double / 1e3
+  / count(l_extendedprice) from lineitem
+union all select 3, 'Average quantity', sum(l_quantity::bigint)::double / count(l_quantity) from lineitem
+union all select 4, 'Total tax', sum(cast(round(l_tax * 1e2) as bigint))::double / 1e2 from lineitem""")
+def e05_exact(spark, sf):
+    """Money to a tenth of a cent, dealt over other partitions: every digit stays the same."""
+    charge = (F.rint(F.col("l_extendedprice") * 1000).cast("long") + F.col("l_linenumber")) / 1000
+    dealt = table(spark, sf, "lineitem").repartition(13, "l_partkey").withColumns(
+        {"charge": charge, "quantity": F.col("l_quantity").cast("double"), "tax": F.col("l_tax").cast("double")})
+    return profiling.business_kpis(dealt, {"revenue": "charge", "tenure": "quantity", "tickets": "tax"})
+
+
 @query("e06_positive_rate", over("accounts") + """
 select round(count(*) filter (lower(trim(Churn)) in ('yes', 'true', '1', 'churned', 'cancelled', 'canceled', 'left',
   'exited'))::double * 1e2 / count(*), 9) as positive_rate from accounts""")
@@ -253,13 +286,35 @@ def e22(spark, sf):
     return stable(profiling.correlations(clean_accounts(spark, sf)), "correlation")
 
 
-ITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("e22_correlations_lineitem", f"""
 select i, j, first, second, round(r, 9) as correlation from ({_correlations(ITEM_NUMBERS, 'lineitem')})""")
 def e22_lineitem(spark, sf):
-    return stable(profiling.correlations(table(spark, sf, "lineitem"), ITEM_NUMBERS), "correlation")
+    return stable(profiling.correlations(table(spark, sf, "lineitem")), "correlation")
+
+
+WIDE = 200
+WIDE_COLUMNS = [f"case when (l_orderkey * {3 + 2 * k} + l_linenumber) % {11 + k % 7} = {k % 11} then null else "
+                f"(l_partkey * {1 + k} + l_suppkey) % {97 + k} end as c{k}" for k in range(WIDE)]
+CHOSEN = [(i, j) for i, j in [(0, 1), (0, 199), (31, 32), (63, 64), (5, 150), (120, 121), (198, 199), (17, 90)]]
+
+
+@query("e22_correlations_wide", f"with w as (select {', '.join(WIDE_COLUMNS)} from lineitem)\n" + " union all ".join(
+    f"select {i} as i, {j} as j, round(corr(c{i}, c{j}), 9) as correlation from w" for i, j in CHOSEN)
+       + f" union all select -1, -1, {WIDE * (WIDE - 1) // 2}")
+def e22_wide(spark, sf):
+    """200 columns with gaps of their own: all 19,900 pairs, of which SQL recomputes some; the last row counts them."""
+    wide = table(spark, sf, "lineitem").selectExpr(*WIDE_COLUMNS)
+    pairs = profiling.correlations(wide)
+    wanted = F.lit(False)
+    for i, j in CHOSEN:
+        wanted = wanted | ((F.col("i") == i) & (F.col("j") == j))
+    place = F.when(wanted, F.struct("i", "j", F.round("correlation", 9).alias("correlation")))
+    rows = pairs.agg(F.collect_list(place).alias("some"), F.count("correlation").alias("n"))
+    counted = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("n").cast("double").alias("correlation")))
+    return rows.select(F.inline(F.concat("some", counted)))
 
 
 @query("e23_strongest_pair", over("accounts", CLEAN) + f"""
@@ -293,13 +348,6 @@ def e28(spark, sf):
     return profiling.scatter_points(clean_accounts(spark, sf), "tenure", "MonthlyCharges", "Churn", "customerID")
 
 
-@query("e28_scatter_sample", over("accounts", CLEAN) + """
-select tenure::double as x, MonthlyCharges as y, Churn as color, customerID as id from ca order by md5(customerID), id
-limit 500""")
-def e28_sample(spark, sf):
-    return profiling.scatter_sample(clean_accounts(spark, sf), "tenure", "MonthlyCharges", "customerID", 500, "Churn")
-
-
 @query("e28_scatter_bins", over("accounts", CLEAN) + """
 select least(floor((x - x0) / ((x1 - x0) / 20))::int + 1, 20) as bin_x,
        least(floor((y - y0) / ((y1 - y0) / 20))::int + 1, 20) as bin_y, count(*) as count

@@ -32,6 +32,38 @@ def a01(spark, sf):
     return tables.read_table(spark, path)
 
 
+DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("a01_read_csv_line_breaks", f"select {', '.join(map(_as_text, DOCUMENT_COLUMNS))} from documents")
+def a01_line_breaks(spark, sf):
+    """Whole texts, with their line breaks and quotes, as a value each of a CSV that is split over tasks."""
+    path = new_path(spark, "a01-breaks") + ".csv"
+    tables.write_report(table(spark, sf, "documents").select(*DOCUMENT_COLUMNS), path)
+    return tables.read_table(spark, path)
+
+
+# order lines as text, some with a value too many or too few
+RAGGED = """select concat_ws(',', cast(l_orderkey as string), cast(l_linenumber as string),
+  case when l_partkey % 7 = 0 then concat('"', l_returnflag, '",extra') when l_partkey % 7 = 1 then null
+       else concat('"', l_returnflag, ', ""', l_linestatus, '"""') end) as `order,line,flag` from {lineitem}"""
+
+
+@query("a01_read_csv_quarantine", """
+select case when l_partkey % 7 < 2 then 'quarantined' else 'good' end as kind,
+  case when l_partkey % 7 >= 2 then concat(l_returnflag, ', "', l_linestatus, '"') end as flag, count(*) as rows
+from lineitem group by all""")
+def a01_quarantine(spark, sf):
+    path = new_path(spark, "a01-ragged")
+    # one column, written as it is: its name is the header
+    spark.sql(RAGGED, lineitem=table(spark, sf, "lineitem")).write.options(
+        header=True, sep="\u0001", quote="\u0000").csv(path)
+    good, bad = tables.read_csv_quarantined(spark, path, ["order", "line", "flag"])
+    both = good.select(F.lit("good").alias("kind"), "flag").unionByName(
+        bad.select(F.lit("quarantined").alias("kind"), F.lit(None).cast("string").alias("flag")))
+    return both.groupBy("kind", "flag").agg(F.count("*").alias("rows"))
+
+
 @query("a02_read_by_extension", """
 select f.format, c_mktsegment, count(*) as customers, sum(cast(round(c_acctbal * 1e2) as bigint))::bigint as cents
 from customer cross join (values ('json'), ('orc'), ('parquet')) f(format) group by all""")
@@ -144,6 +176,28 @@ def a12(spark, sf):
     return both.drop("id")
 
 
+@query("a12_stream_then_load", over("customers", INCOMING_CTE) + f"""
+select name, usage, tickets, nps, renewal_status, 'stored' as origin, usage * 5e-1 + nps * 5 - tickets * 2 as health_score,
+  true as one_id from customers
+union all select trim(name), usage, tickets, nps, renewal_status, 'streamed', usage * 5e-1 + nps * 5 - tickets * 2, true
+from incoming where {VALID}""")
+def a12_then_load(spark, sf):
+    """Streamed records are customers like others: they have ids of their own, and health scores. A replay adds nothing."""
+    base = new_path(spark, "a12-store")
+    path = f"{base}/store"
+    store.save_customers(views.customers(spark, sf), path)
+    first = store.next_id(spark, path)
+    incoming(spark, sf).write.json(f"{base}/in")
+    for checkpoint in ("checkpoint", "checkpoint"):
+        stream_customers(spark, f"{base}/in", path, f"{base}/{checkpoint}").awaitTermination()
+    customers = portfolio.with_health(store.load_customers(spark, path))
+    taken = customers.groupBy("id").agg(F.count("*").alias("n"))
+    return customers.join(taken, "id").select(
+        "name", "usage", "tickets", "nps", "renewal_status",
+        F.when(F.col("id") < first, F.lit("stored")).otherwise(F.lit("streamed")).alias("origin"), "health_score",
+        (F.col("n") == 1).alias("one_id"))
+
+
 @query("a13_policy_with_observed_rates", over("scored", TIERS) + """
 select e.tier, b.lower, b.upper, b.probability_range, customers, round(r, 9) as actual_churn_rate
 from every e join (values ('LOW', 0e0, 15e-2, '< 15%'), ('MEDIUM', 15e-2, 33e-2, '15%–33%'),

@@ -74,19 +74,29 @@ def count_passed(column: Column | str, edges: Sequence[float]) -> Column:
     return search(0, len(edges))
 
 
-def cents_mean(column: Column | str) -> Column:
-    """Mean of a money column, summed exactly as whole cents so that partitioning cannot change the digits."""
-    column = as_column(column)
-    cents = F.rint(column * 100).cast("long")
-    return F.try_divide(F.try_divide(F.sum(cents).cast("double"), F.count(column)), F.lit(100.0))
+EXACT_LIMIT = 1e12
+
+
+def exact_sum(column: Column | str) -> Column:
+    """The sum of a number column in its own decimal digits, so that neither partitioning nor order changes the result.
+
+    A double stands for its shortest decimal text (29.85 is 29.85) to 16 places after the point; such decimals add without
+    rounding, and the total is rounded once. Values of 1e12 and more, NaN and infinities are added as doubles. NULL if
+    there is no value, as with any sum.
+    """
+    value = as_column(column).cast("double")
+    small = F.abs(value) < EXACT_LIMIT
+    exact = F.try_sum(F.when(small, value).cast("decimal(38,16)")).cast("double")
+    large = F.sum(F.when(~small, value))
+    # beyond 22 digits before the point there is no exact total
+    plain = F.sum(F.when(small, value))
+    total = F.when(F.count_if(small) == 0, F.lit(0.0)).otherwise(F.coalesce(exact, plain))
+    return F.when(F.count(value) > 0, total + F.coalesce(large, F.lit(0.0)))
 
 
-def correlation(x: Column | str, y: Column | str) -> Column:
-    """Pearson correlation over complete pairs; NULL when either side is constant."""
-    x, y = as_column(x), as_column(y)
-    spread_x = F.stddev_pop(F.when(y.isNotNull(), x))
-    spread_y = F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread_x * spread_y)
+def exact_mean(column: Column | str) -> Column:
+    """The mean of a number column from its exact sum; NULL if there is no value."""
+    return F.try_divide(exact_sum(column), F.count(as_column(column).cast("double")))
 
 
 def row_digest(df: DataFrame) -> Column:

@@ -12,7 +12,7 @@ from keepwell.domain import DEFAULT_POLICY
 from keepwell.functions import display
 from keepwell.functions.rules import (
     domain_rank, health_recommendation, health_score, health_status, tenure_band, tenure_rank)
-from keepwell.functions.values import cents_mean, quoted
+from keepwell.functions.values import exact_mean, exact_sum, quoted
 from keepwell.operators.profiling import positive_percent, metric_rows, number_of
 
 
@@ -24,8 +24,8 @@ def churn_rate(label: str = "label") -> Column:
 def portfolio_kpis(accounts: DataFrame) -> DataFrame:
     """(position, metric, value): customers, churn rate, mean charges, mean tenure, churned customers."""
     one_row = accounts.agg(
-        F.count(F.lit(1)).alias("customers"), churn_rate().alias("rate"), cents_mean("MonthlyCharges").alias("charges"),
-        F.avg("tenure").alias("tenure"), F.coalesce(F.sum("label"), F.lit(0)).alias("churned"))
+        F.count(F.lit(1)).alias("customers"), churn_rate().alias("rate"), exact_mean("MonthlyCharges").alias("charges"),
+        exact_mean("tenure").alias("tenure"), F.coalesce(F.sum("label"), F.lit(0)).alias("churned"))
     return metric_rows(one_row, [
         ("Total Customers", "customers"), ("Overall Churn Rate", "rate"), ("Average Monthly Charges", "charges"),
         ("Average Tenure", "tenure"), ("Churned Customers", "churned")])
@@ -99,8 +99,8 @@ def executive_metrics(accounts: DataFrame, scored: DataFrame | None = None,
     """(position, metric, value): the five exported metrics, two decimals; a missing model leaves NULL."""
     one_row = accounts.agg(
         F.count(F.lit(1)).cast("double").alias("customers"), display.rounded(churn_rate(), 2).alias("rate"),
-        display.rounded(cents_mean("MonthlyCharges"), 2).alias("charges"),
-        display.rounded(F.avg("tenure"), 2).alias("tenure"))
+        display.rounded(exact_mean("MonthlyCharges"), 2).alias("charges"),
+        display.rounded(exact_mean("tenure"), 2).alias("tenure"))
     risky = F.lit(None).cast("double")
     if scored is not None:
         risky = scored.agg(F.count_if(F.col("probability") >= threshold).alias("n")).scalar()
@@ -138,7 +138,7 @@ def cs_kpis(df: DataFrame, roles: dict[str, str | None] | None = None) -> DataFr
     roles = roles or {}
     aggregates: list[tuple[str, Column]] = [("Customers", F.count(F.lit(1)).cast("double"))]
 
-    def add(column: str, label: str, fallbacks: Sequence[tuple[str, str]], combine=F.avg) -> None:
+    def add(column: str, label: str, fallbacks: Sequence[tuple[str, str]], combine=exact_mean) -> None:
         if column in df.columns:
             aggregates.append((label, combine(number_of(df, column))))
             return
@@ -146,7 +146,7 @@ def cs_kpis(df: DataFrame, roles: dict[str, str | None] | None = None) -> DataFr
             if roles.get(role):
                 rate = role == "churn"
                 value = (positive_percent(roles[role], domain.OLDER_POSITIVE_LABELS) if rate
-                         else F.avg(number_of(df, roles[role])))
+                         else exact_mean(number_of(df, roles[role])))
                 aggregates.append((fallback, value))
                 return
 
@@ -154,7 +154,7 @@ def cs_kpis(df: DataFrame, roles: dict[str, str | None] | None = None) -> DataFr
     add("tickets", "Average Tickets", [("tenure", "Average Tenure")])
     add("nps", "Average NPS", [("churn", "Churn Rate")])
     add("health_score", "Average Health", [("revenue", "Average Monthly Charges"), ("tenure", "Average Tenure")])
-    add("tickets", "Open Tickets", [("tenure", "Average Tenure")], F.sum)
+    add("tickets", "Open Tickets", [("tenure", "Average Tenure")], exact_sum)
     seen, kept = set(), []
     for label, aggregate in aggregates:
         if label not in seen:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 from keepwell import domain
 from keepwell.functions import display
 from keepwell.functions.rules import is_positive
-from keepwell.functions.values import correlation, quoted, row_digest, to_number
+from keepwell.functions.values import exact_mean, exact_sum, quoted, row_digest, to_number
 from keepwell.operators.cleaning import long_form, numeric_columns
 from keepwell.operators.ordering import quantiles
+from keepwell.operators.pairwise import correlation_table
 
 MAX_BROADCAST_GROUPS = 10_000
+DIGEST_BYTES = 32
 METRIC = "array<struct<position:int,metric:string,value:double>>"
 
 
@@ -61,15 +63,18 @@ def overview(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """(position, column, type, missing, unique) per column.
 
-    Exact: cells become (column, value) pairs that are counted with a map-side combine, so a hot value costs one row.
-    Otherwise one pass with a distinct-count sketch per column.
+    Exact: cells become (column, value) pairs that are counted with a map-side combine, so a hot value costs one row; a
+    value longer than its SHA-256 digest travels as that. Otherwise one pass with a distinct-count sketch per column.
     """
     names = df.columns
     position = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(i) for i in range(1, len(names) + 1)]))
     types = F.map_from_arrays(F.array(*map(F.lit, names)),
                               F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields]))
     if exact:
-        pairs = long_form(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        long = F.octet_length("value") > DIGEST_BYTES
+        digest = F.when(long, F.unhex(F.sha2(F.col("value").cast("binary"), 256))).otherwise(F.col("value").cast("binary"))
+        pairs = long_form(df, names).groupBy("column", long.alias("long"), digest.alias("value")).agg(
+            F.count(F.lit(1)).alias("n"))
         counted = pairs.groupBy("column").agg(
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
             F.count("value").alias("unique"))
@@ -112,13 +117,13 @@ def business_kpis(df: DataFrame, roles: dict[str, str | None]) -> DataFrame:
         aggregates.append(("Records", F.count(F.lit(1))))
     for role in ("revenue", "tenure"):
         if roles.get(role):
-            aggregates.append((f"Average {roles[role]}", F.avg(number_of(df, roles[role]))))
+            aggregates.append((f"Average {roles[role]}", exact_mean(number_of(df, roles[role]))))
     if roles.get("churn"):
         aggregates.append(("Positive/Churn Rate", positive_percent(roles["churn"])))
     if roles.get("usage"):
-        aggregates.append((f"Average {roles['usage']}", F.avg(number_of(df, roles["usage"]))))
+        aggregates.append((f"Average {roles['usage']}", exact_mean(number_of(df, roles["usage"]))))
     if roles.get("tickets"):
-        total = F.coalesce(F.sum(number_of(df, roles["tickets"])), F.lit(0.0))
+        total = F.coalesce(exact_sum(number_of(df, roles["tickets"])), F.lit(0.0))
         aggregates.append((f"Total {roles['tickets']}", total))
     one_row = df.agg(*[a.alias(f"v{i}") for i, (_, a) in enumerate(aggregates)])
     return metric_rows(one_row, [(label, f"v{i}") for i, (label, _) in enumerate(aggregates)])
@@ -219,17 +224,14 @@ def outliers(df: DataFrame, column: str, key: str, by: str | None = None, exact:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(i, j, first, second, correlation) for every pair of numeric columns, from one aggregate over the table."""
+    """(i, j, first, second, correlation) for every pair of numeric columns, from one scan; see `correlation_table`."""
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(range(len(columns)), 2))
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, first string, second string, correlation double")
-    value = [quoted(c).cast("double") for c in columns]
-    one_row = df.agg(*[correlation(value[i], value[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    return one_row.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("first"),
-                 F.lit(columns[j]).alias("second"), F.col(f"r_{i}_{j}").alias("correlation"))
-        for i, j in pairs])))
+    # one literal, as a wide table has many names
+    names = F.from_json(F.lit(json.dumps(columns)), "array<string>")
+    return correlation_table(df, columns).select(
+        "i", "j", F.get(names, F.col("i")).alias("first"), F.get(names, F.col("j")).alias("second"), "correlation")
 
 
 def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -253,7 +255,7 @@ def executive_summary(df: DataFrame, roles: dict[str, str | None]) -> DataFrame:
         rates.append(positive_percent(roles["churn"]).alias("churn"))
     for role in ("revenue", "tenure"):
         if roles.get(role):
-            rates.append(F.avg(number_of(df, roles[role])).alias(role))
+            rates.append(exact_mean(number_of(df, roles[role])).alias(role))
     means = df.agg(*rates).select(F.struct("*").alias("means")).scalar()
     sentences = [
         F.concat(F.lit("The dataset contains "), display.fmt_int("rows"), F.lit(" records across "),
@@ -286,12 +288,6 @@ def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, key:
     return df.select(number_of(df, x).alias("x"), number_of(df, y).alias("y"), *extra)
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, key: str, n: int, color: str | None = None) -> DataFrame:
-    """At most n points for a chart, the ones whose key hashes lowest, so that reruns draw the same points."""
-    points = scatter_points(df, x, y, color, key)
-    return points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(n)
-
-
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """The whole scatter as counts on a bins x bins grid: (bin_x, bin_y, count)."""
     points = df.select(number_of(df, x).alias("x"), number_of(df, y).alias("y")).dropna()

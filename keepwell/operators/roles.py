@@ -1,19 +1,27 @@
 """Finding the business meaning of columns by their names.
 
-Works on a catalogue of headings (`table`, `position`, `column`) so that any number of tables is one job. A name is
-compared with a role's whole alias list by substring search in one joined text, so no alias table is joined.
+Works on a catalogue of headings (`table`, `position`, `column`) so that any number of tables is one job. Headings repeat,
+so a task compares each different normalised name with the aliases once; only (table, role, best column) is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import sys
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwell import domain
 from keepwell.functions.values import normalize_name
 
+# tasks get this module's functions with the job, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEADINGS = "table string, position long, column string"
 
 
@@ -28,18 +36,65 @@ def _plain(alias: str, style: str) -> str:
     return "".join(kept)
 
 
-def _matches(name: Column, style: str, aliases: dict[str, list[str]]) -> Column:
-    """Array of (role, exact) for the roles a normalised name can stand for."""
-    found = []
-    for role, texts in aliases.items():
-        plain = sorted({_plain(text, style) for text in texts})
-        listed = F.lit("|" + "|".join(plain) + "|")
-        exact = F.contains(listed, F.concat(F.lit("|"), name, F.lit("|")))
-        match = exact
+class Matcher:
+    """The roles a normalised name can stand for, found once for each different name.
+
+    A role's aliases are one pattern, which tells whether the name holds any; a table of all parts of aliases tells
+    whether an alias holds the name.
+    """
+
+    def __init__(self, style: str, aliases: dict[str, list[str]], names_kept: int = 200_000):
+        plain = {role: sorted({_plain(text, style) for text in texts}) for role, texts in aliases.items()}
+        self.exact = {role: frozenset(texts) for role, texts in plain.items()}
+        self.patterns, self.parts = {}, {}
         if style == "fuzzy":
-            match = F.contains(listed, name) | reduce(lambda a, b: a | b, [F.contains(name, F.lit(p)) for p in plain])
-        found.append(F.when(match, F.struct(F.lit(role).alias("role"), exact.alias("exact"))))
-    return F.array_compact(F.array(*found))
+            self.patterns = {role: re.compile("|".join(map(re.escape, texts))) for role, texts in plain.items()}
+            for role, texts in plain.items():
+                for text in texts:
+                    for start in range(len(text)):
+                        for end in range(start + 1, len(text) + 1):
+                            self.parts.setdefault(text[start:end], set()).add(role)
+        self.names_kept, self.known = names_kept, {}
+
+    def roles(self, name: str) -> list[tuple[str, bool]]:
+        """(role, whether the name is an alias of it)."""
+        found = self.known.get(name)
+        if found is None:
+            if len(self.known) >= self.names_kept:
+                self.known.clear()
+            inside = self.parts.get(name, ())
+            found = self.known[name] = [
+                (role, name in texts) for role, texts in self.exact.items()
+                if name in texts or role in inside or (role in self.patterns and self.patterns[role].search(name))]
+        return found
+
+
+def with_roles(named: DataFrame, style: str, aliases: dict[str, list[str]]) -> DataFrame:
+    """(table, position, column, role, exact) for each role that the row's `name` can stand for; nothing is shuffled."""
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("table", "position", "column")) + ", role string, exact boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(style, aliases)
+        for batch in batches:
+            names = batch.column("name").dictionary_encode()
+            codes = names.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            edges = np.searchsorted(codes[order], np.arange(len(names.dictionary) + 1))
+            rows, roles, exact = [], [], []
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                for role, same in matcher.roles(name):
+                    here = order[edges[code]:edges[code + 1]]
+                    rows.append(here)
+                    roles += [role] * len(here)
+                    exact += [same] * len(here)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in ("table", "position", "column")), pa.array(roles, pa.string()),
+                     pa.array(exact, pa.bool_())], ["table", "position", "column", "role", "exact"])
+
+    return named.select("table", "position", "column", "name").mapInArrow(run, schema)
 
 
 def detect_roles(columns_df: DataFrame, mode: str = "fuzzy") -> DataFrame:
@@ -53,9 +108,10 @@ def detect_roles(columns_df: DataFrame, mode: str = "fuzzy") -> DataFrame:
     named = named.where(F.col("name") != "")
     if mode == "exact":
         # among columns that normalise alike the last spelling stands, at the place of the first
-        named = named.where(F.size(_matches(F.col("name"), style, aliases)) > 0).groupBy("table", "name").agg(
+        texts = sorted({_plain(text, style) for listed in aliases.values() for text in listed})
+        named = named.where(F.col("name").isin(texts)).groupBy("table", "name").agg(
             F.max(F.struct("position", "column"))["column"].alias("column"), F.min("position").alias("position"))
-    matched = named.select("table", "position", "column", F.inline(_matches(F.col("name"), style, aliases)))
+    matched = with_roles(named, style, aliases)
     best = F.min(F.struct((~F.col("exact")).alias("partial"), "position", "column"))
     return matched.groupBy("table", "role").agg(best.alias("best")).select(
         "table", "role", F.col("best.column").alias("column"), (~F.col("best.partial")).alias("exact"))
@@ -78,7 +134,10 @@ def roles_of(df: DataFrame, mode: str = "fuzzy") -> dict[str, str | None]:
 
 def resolve_roles(detected: dict[str, str | None], overrides: dict[str, str | None],
                   columns: list[str]) -> dict[str, str | None]:
-    """User choices over detected roles; None clears a role, an unknown column is refused."""
+    """User choices over detected roles; None clears a role, an unknown role or column is refused."""
+    strange = sorted(set(overrides) - set(domain.ROLE_ALIASES) - set(detected))
+    if strange:
+        raise ValueError("No such roles: " + ", ".join(strange))
     unknown = sorted(c for c in overrides.values() if c is not None and c not in columns)
     if unknown:
         raise ValueError("No such columns: " + ", ".join(unknown))

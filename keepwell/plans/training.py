@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from math import prod
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -19,9 +23,9 @@ from keepwell import domain
 from keepwell.domain import BOOSTING, FOREST, LOGISTIC, SEED
 from keepwell.functions.values import hash_bucket
 from keepwell.operators.cleaning import drop_unlabelled, typed_accounts
-from keepwell.operators.evaluation import FINE_GRID, best_threshold, evaluate, threshold_sweep
+from keepwell.operators.evaluation import FINE_GRID, best_threshold, evaluate, roc_auc, threshold_sweep
 from keepwell.operators.ordering import hashed_rank
-from keepwell.plans.preprocessing import FEATURES, preprocessor
+from keepwell.plans.preprocessing import FEATURES, Side, fitted, learn_sides
 from keepwell.session import new_path
 from keepwell.sources.champion import Champion, save_champion
 
@@ -151,49 +155,64 @@ def tuned(kind: str, drawn: dict, settings: TrainingSettings, rows: float) -> Es
 
 
 # ---- fitting ------------------------------------------------------------------------------------
-def _with_weight(train: DataFrame) -> tuple[DataFrame, float]:
-    """Balanced weights from the two class counts, and the number of rows."""
-    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    total = float(sum(counts.values()))
+def fold_sides(frame: DataFrame, settings: TrainingSettings) -> list[Side]:
+    """What preprocessing learns without each fold in turn, and at last from all rows; one scan serves them all."""
+    folds = range(settings.folds)
+    sides = [[p for p in folds if p != fold] for fold in folds] + [list(folds)]
+    return learn_sides(frame, settings.numeric, settings.categorical, sides, F.col("fold"), settings.folds, "label")
+
+
+def _with_weight(train: DataFrame, side: Side) -> DataFrame:
+    """Balanced weights from the class counts."""
     weight = F.lit(0.0)
-    for label, count in counts.items():
-        weight = F.when(F.col("label") == label, F.lit(total / (2.0 * count))).otherwise(weight)
-    return train.withColumn("weight", weight), total
+    for label, count in side.labels.items():
+        share = F.lit(sum(side.labels.values()) / (2.0 * count))
+        weight = F.when(F.col("label") == int(label), share).otherwise(weight)
+    return train.withColumn("weight", weight)
 
 
 def _probability(model: Model, features: DataFrame) -> DataFrame:
     return model.transform(features).withColumn("probability", vector_to_array("probability")[1])
 
 
-def fit_and_predict(train: DataFrame, test: DataFrame, build, settings: TrainingSettings, path: str,
-                    **tags) -> dict[str, PipelineModel]:
-    """Fits preprocessing once on `train`, then every classifier; stores the predictions on `test` under `path`.
-
-    `build(rows)` gives the classifiers by name. The assembled features are persisted while the classifiers read
-    them; predictions are written out, so no lineage grows over folds. Independent fits run from driver threads,
-    each writing its own `run` folder below the folders of `tags`, which read back as columns.
-    """
-    weighted, rows = _with_weight(train)
-    prepared = preprocessor(settings.numeric, settings.categorical).fit(weighted)
-    train_features = prepared.transform(weighted).select("label", "weight", FEATURES)
+@contextmanager
+def _features(train: DataFrame, test: DataFrame, settings: TrainingSettings,
+              side: Side | None) -> Iterator[tuple[PipelineModel, DataFrame, DataFrame, float]]:
+    """Fitted preprocessing, the persisted features of both sides, and the number of training rows."""
+    side = side or learn_sides(train, settings.numeric, settings.categorical, [[0]], label="label")[0]
+    prepared = fitted(train.sparkSession, side)
+    train_features = prepared.transform(_with_weight(train, side)).select("label", "weight", FEATURES)
     if settings.partitions:
         train_features = train_features.repartition(settings.partitions)
     train_features = train_features.persist(StorageLevel.MEMORY_AND_DISK)
-    test_features = prepared.transform(test).select(KEY, "label", FEATURES)
+    test_features = prepared.transform(test).select(KEY, "label", FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield prepared, train_features, test_features, float(sum(side.labels.values()))
+    finally:
+        train_features.unpersist()
+        test_features.unpersist()
+
 
+def fit_and_predict(train: DataFrame, test: DataFrame, build, settings: TrainingSettings, path: str,
+                    side: Side | None = None, **tags) -> dict[str, PipelineModel]:
+    """Fits every classifier on `train` and stores the predictions on `test` under `path`.
+
+    `build(rows)` gives the classifiers by name; `side` is what preprocessing has learned from `train`, if it has. The
+    assembled features are persisted while the classifiers read them; predictions are written out, so no lineage grows
+    over folds. Independent fits run from driver threads, each writing its own `run` folder below the folders of `tags`,
+    which read back as columns.
+    """
     folder = "/".join([path, *[f"{k}={v}" for k, v in tags.items()]])
+    with _features(train, test, settings, side) as (prepared, train_features, test_features, rows):
 
-    def run(item: tuple[int, tuple[str, Estimator]]) -> tuple[str, PipelineModel]:
-        number, (name, estimator) = item
-        model = estimator.fit(train_features)
-        _probability(model, test_features).select(
-            F.lit(name).alias("model"), KEY, "label", "probability").write.parquet(f"{folder}/run={number}")
-        return name, PipelineModel(stages=[prepared, model])
+        def run(item: tuple[int, tuple[str, Estimator]]) -> tuple[str, PipelineModel]:
+            number, (name, estimator) = item
+            model = estimator.fit(train_features)
+            _probability(model, test_features).select(
+                F.lit(name).alias("model"), KEY, "label", "probability").write.parquet(f"{folder}/run={number}")
+            return name, PipelineModel(stages=[prepared, model])
 
-    try:
         return dict(_at_once(train.sparkSession, settings.parallelism, run, enumerate(build(rows).items())))
-    finally:
-        train_features.unpersist()
 
 
 def _at_once(spark: SparkSession, threads: int, work, items) -> list:
@@ -202,16 +221,29 @@ def _at_once(spark: SparkSession, threads: int, work, items) -> list:
         return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
 
 
-def oof_predictions(frame: DataFrame, build, settings: TrainingSettings, path: str | None = None) -> DataFrame:
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows, persisted while several jobs read them."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def oof_predictions(frame: DataFrame, build, settings: TrainingSettings, path: str | None = None,
+                    sides: Sequence[Side] | None = None) -> DataFrame:
     """(model, fold, customerID, label, probability): every row predicted by models that never saw its fold."""
     spark = frame.sparkSession
     path = path or new_path(spark, "oof")
+    with kept(frame) as frame:
+        learned = sides or fold_sides(frame, settings)
 
-    def run(fold: int) -> None:
-        fit_and_predict(frame.where(F.col("fold") != fold), frame.where(F.col("fold") == fold), build, settings, path,
-                        fold=fold)
+        def run(fold: int) -> None:
+            fit_and_predict(frame.where(F.col("fold") != fold), frame.where(F.col("fold") == fold), build, settings,
+                            path, learned[fold], fold=fold)
 
-    _at_once(spark, settings.fold_parallelism, run, range(settings.folds))
+        _at_once(spark, settings.fold_parallelism, run, range(settings.folds))
     return spark.read.parquet(path).drop("run")
 
 
@@ -238,8 +270,9 @@ def holdout(frame: DataFrame, settings: TrainingSettings, path: str | None = Non
 def holdout_predictions(frame: DataFrame, settings: TrainingSettings, path: str | None = None) -> DataFrame:
     spark = frame.sparkSession
     path = path or new_path(spark, "holdout")
-    fit_and_predict(training_rows(frame), frame.where(F.col("split") == "test"),
-                    lambda rows: candidates(settings, rows), settings, path)
+    with kept(frame) as frame:
+        fit_and_predict(training_rows(frame), frame.where(F.col("split") == "test"),
+                        lambda rows: candidates(settings, rows), settings, path)
     return spark.read.parquet(path).drop("run")
 
 
@@ -262,19 +295,71 @@ def draw_all(settings: TrainingSettings, kinds: Sequence[str] | None = None,
         for i, drawn in enumerate(draw((spaces or {}).get(kind) or known[kind], settings.draws[kind], settings.seed))}
 
 
+TRIAL = "trial string, name string, kind string, settings string, fold int, roc_auc double"
+
+
+def trial_key(kind: str, drawn: dict, fold: int, settings: TrainingSettings, side: Side) -> str:
+    """Names one fit of a search: the same draw, fold, columns and class counts have the same name."""
+    told = [kind, drawn, fold, settings.folds, settings.test_share, settings.seed, settings.logistic_iterations,
+            settings.numeric, settings.categorical, side.labels]
+    return hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()[:32]
+
+
+def read_trials(spark: SparkSession, ledger: str) -> dict[str, float | None]:
+    """ROC-AUC by trial, of all that the ledger holds: one short row a fit."""
+    try:
+        table = spark.read.schema(TRIAL).option("recursiveFileLookup", "true").parquet(ledger)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["trial"]: r["roc_auc"] for r in table.select("trial", "roc_auc").collect()}
+
+
 def random_search(frame: DataFrame, settings: TrainingSettings, kinds: Sequence[str] | None = None,
-                  spaces: dict[str, dict] | None = None) -> tuple[list[SearchResult], DataFrame]:
-    """(results, out-of-fold predictions of every draw), from one pass over the folds for all classifiers together.
+                  spaces: dict[str, dict] | None = None, ledger: str | None = None,
+                  sides: Sequence[Side] | None = None) -> list[SearchResult]:
+    """The mean ROC-AUC of every draw over the folds of the training rows.
 
-    Preprocessing is fitted once per fold and shared by all draws, and no draw is fitted again for its threshold.
+    Each fit writes its metric into `ledger`, a folder in shared storage, as soon as it is done; a search that is started
+    again with the same ledger, table and settings goes on where it ended. A fold's features are persisted once for all
+    its draws. Predictions are only measured, not stored.
     """
+    spark, rows = frame.sparkSession, training_rows(frame)
     drawn = draw_all(settings, kinds, spaces)
-    oof = oof_predictions(
-        training_rows(frame),
-        lambda rows: {name: tuned(kind, d, settings, rows) for name, (kind, d) in drawn.items()}, settings)
-    # one short row per draw
-    scores = {r["model"]: r["roc_auc"] for r in fold_means(oof).select("model", "roc_auc").collect()}
-    return [SearchResult(name, kind, d, scores[name]) for name, (kind, d) in drawn.items()], oof
+    ledger = ledger or new_path(spark, "trials")
+    with kept(rows) as rows:
+        learned = sides or fold_sides(rows, settings)
+        keys = {(name, fold): trial_key(kind, d, fold, settings, learned[fold])
+                for name, (kind, d) in drawn.items() for fold in range(settings.folds)}
+        done = read_trials(spark, ledger)
+
+        def search(fold: int) -> None:
+            pending = [name for name in drawn if keys[name, fold] not in done]
+            if not pending:
+                return
+            train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+            with _features(train, test, settings, learned[fold]) as (_, train_features, test_features, n):
+
+                def attempt(name: str) -> None:
+                    (kind, d), key = drawn[name], keys[name, fold]
+                    model = tuned(kind, d, settings, n).fit(train_features)
+                    with kept(_probability(model, test_features).select("label", "probability")) as scored:
+                        measured = roc_auc(scored).first()
+                    row = (key, name, kind, json.dumps(d), fold, measured["roc_auc"] if measured else None)
+                    # a folder for each trial, so that fits at the same time don't meet and a repeated one replaces its own
+                    spark.createDataFrame([row], TRIAL).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/trial={key}")
+
+                _at_once(spark, settings.parallelism, attempt, pending)
+
+        _at_once(spark, settings.fold_parallelism, search, range(settings.folds))
+    done = read_trials(spark, ledger)
+
+    def mean(name: str) -> float:
+        found = [v for fold in range(settings.folds) if (v := done[keys[name, fold]]) is not None]
+        return sum(found) / len(found) if found else 0.0
+
+    return [SearchResult(name, kind, d, mean(name)) for name, (kind, d) in drawn.items()]
 
 
 def tuning_summary(spark: SparkSession, results: Sequence[SearchResult]) -> DataFrame:
@@ -296,27 +381,29 @@ def champion_threshold(oof: DataFrame) -> float:
 
 
 def train_champion(accounts: DataFrame, settings: TrainingSettings, path: str, kinds: Sequence[str] | None = None,
-                   spaces: dict[str, dict] | None = None,
-                   choose: str | None = None) -> tuple[Champion, DataFrame, DataFrame]:
+                   spaces: dict[str, dict] | None = None, choose: str | None = None,
+                   ledger: str | None = None) -> tuple[Champion, DataFrame, DataFrame]:
     """Searches, chooses, sets the threshold out of fold, fits on the training rows and saves.
 
-    Returns the champion, its out-of-fold predictions and its predictions on the test rows.
+    Returns the champion, its out-of-fold predictions and its predictions on the test rows; those of other draws are not
+    stored. With a `ledger` of an unfinished search, that search goes on.
     """
     spark = accounts.sparkSession
-    frame = prepare(accounts, settings).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        results, predictions = random_search(frame, settings, kinds, spaces)
+    with kept(prepare(accounts, settings)) as frame:
+        rows = training_rows(frame)
+        sides = fold_sides(rows, settings)
+        results = random_search(frame, settings, kinds, spaces, ledger, sides)
         winner = select_champion(results, choose)
-        oof = predictions.where(F.col("model") == winner.name).withColumn("model", F.lit(winner.kind))
+
+        def build(n: float) -> dict[str, Estimator]:
+            return {winner.kind: tuned(winner.kind, winner.settings, settings, n)}
+
+        oof = oof_predictions(rows, build, settings, sides=sides)
         tested = new_path(spark, "champion-holdout")
-        fitted = fit_and_predict(
-            training_rows(frame), frame.where(F.col("split") == "test"),
-            lambda rows: {winner.kind: tuned(winner.kind, winner.settings, settings, rows)}, settings, tested)
-        champion = Champion(fitted[winner.kind], winner.kind, champion_threshold(oof), winner.cv_roc_auc)
+        model = fit_and_predict(rows, frame.where(F.col("split") == "test"), build, settings, tested, sides[-1])
+        champion = Champion(model[winner.kind], winner.kind, champion_threshold(oof), winner.cv_roc_auc)
         save_champion(spark, champion, path)
         return champion, oof, spark.read.parquet(tested).drop("run")
-    finally:
-        frame.unpersist()
 
 
 def quick_settings(**changes) -> TrainingSettings:

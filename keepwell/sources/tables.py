@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from keepwell import domain
 from keepwell.domain import DEFAULT_POLICY, RiskPolicy
 from keepwell.functions.values import quoted, to_number
 from keepwell.operators.cleaning import text_columns
+from keepwell.sources.csv_records import needs_records, read_records
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
 CSV_OPTIONS = {"header": True, "inferSchema": False, "escape": '"', "ignoreLeadingWhiteSpace": False,
@@ -35,35 +36,60 @@ def missing_texts_to_null(df: DataFrame) -> DataFrame:
         F.when(~quoted(c).isin(domain.NA_TEXTS), quoted(c)).alias(c) if c in texts else quoted(c) for c in df.columns])
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False,
-               mode: str = "PERMISSIVE") -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool | None = None) -> DataFrame:
     """Any supported table. CSV columns arrive as text, for `clean_frame` to type.
 
-    A CSV is split over tasks unless `multiline` says that quoted values hold line breaks.
+    Big CSV files are split over tasks, also where quoted values hold line breaks; `multiline` says whether any does, and
+    by default the text is asked (see `csv_rows`). A row with more values than the header stops the job that reads it, as
+    `read_csv_quarantined` would not; a shorter row is filled with NULL.
     """
     fmt = fmt or format_of(path)
     try:
         if fmt in ("csv", "tsv"):
-            options = {**CSV_OPTIONS, "multiLine": multiline, "mode": mode, "sep": "\t" if fmt == "tsv" else ","}
-            return missing_texts_to_null(spark.read.options(**options).csv(path))
+            rows, text, wide = csv_rows(spark, path, "\t" if fmt == "tsv" else ",", multiline)
+            refused = F.raise_error(F.concat(F.lit("A row has more values than the header: "), text)).cast("boolean")
+            kept = rows.where(F.when(wide, refused).otherwise(F.lit(True)))
+            return missing_texts_to_null(kept.drop(TEXT, WIDE))
         return spark.read.format(fmt).load(path)
     except AnalysisException as error:
         raise ValueError(f"Could not read the table {path!r}: {error}") from error
 
 
-def read_csv_quarantined(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rows of the wrong width with their text in `_corrupt_record`) of a CSV with known columns.
+TEXT, WIDE = "_row_as_text", "_row_is_wide"
 
-    Every column is parsed whatever is selected, since a line's width shows only when all of it is read.
+
+def csv_rows(spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None,
+             columns: list[str] | None = None) -> tuple[DataFrame, Column, Column]:
+    """The rows of CSV files with two more columns: the text of a row of the wrong width, and whether it is too wide.
+
+    Where no line has an odd number of quotes no value goes over a line, and Spark's own reader takes every split by
+    itself. Otherwise records are found across lines and splits, see `csv_records`. Every column is parsed whatever is
+    selected, since a row's width shows only when all of it is read.
     """
-    bad = "_corrupt_record"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, bad]])
-    options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "columnPruning": False}
-    rows = spark.read.options(**options).schema(schema).csv(path)
+    reader = spark.read.options(**{**CSV_OPTIONS, "sep": sep})
+    columns = columns or reader.option("multiLine", True).csv(path).columns
+    width = len(columns)
+    if multiline if multiline is not None else needs_records(spark, path):
+        records = read_records(spark, path, width, sep)
+        rows = records.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)], F.col("text").alias(TEXT),
+                              (F.size("cells") > width).alias(WIDE))
+        return rows, F.col(TEXT), F.col(WIDE)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, TEXT]])
+    rows = spark.read.options(**{**CSV_OPTIONS, "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": TEXT,
+                                 "columnPruning": False}).schema(schema).csv(path)
     # always true; Spark refuses plans that read nothing but the corrupt-record column, as a bare count would
-    parsed = F.length(F.concat_ws("", *[quoted(c) for c in columns])) >= 0
-    good = rows.where(F.col(bad).isNull() & parsed).drop(bad)
-    return missing_texts_to_null(good), rows.where(F.col(bad).isNotNull() & parsed)
+    rows = rows.where(F.length(F.concat_ws("", *[quoted(c) for c in columns])) >= 0)
+    bare = F.regexp_replace(TEXT, '"([^"]|"")*"', "")
+    values = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    return rows.withColumn(WIDE, F.col(TEXT).isNotNull() & (values > width)), F.col(TEXT), F.col(WIDE)
+
+
+def read_csv_quarantined(spark: SparkSession, path: str, columns: list[str] | None = None,
+                         multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rows of the wrong width with their text in `_corrupt_record`) of a CSV."""
+    rows, text, _ = csv_rows(spark, path, ",", multiline, columns)
+    good = rows.where(text.isNull()).drop(TEXT, WIDE)
+    return missing_texts_to_null(good), rows.where(text.isNotNull()).drop(WIDE).withColumnRenamed(TEXT, "_corrupt_record")
 
 
 def require_nonempty(df: DataFrame, name: str = "dataset") -> DataFrame:

@@ -2,42 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keepwell.domain import CUSTOMER_SCHEMA, DEFAULT_POLICY, RiskPolicy
-from keepwell.operators.selection import checked_customers
 from keepwell.plans.scoring import score
 from keepwell.sources.champion import Champion
+from keepwell.sources.customers import append_customers, load_customers, rejected_customers
 
 
 def read_customer_stream(spark: SparkSession, source: str, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(CUSTOMER_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(source)
 
 
-def stream_customers(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Takes in what has arrived and stops: good and rejected records go to two folders under `sink`.
+def stream_customers(spark: SparkSession, source: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Takes what has arrived into the customer store, and stops.
 
-    Both kinds are one partitioned write, so each record is read and checked once, and the file sink's log makes a
-    restart from the checkpoint add nothing twice. Ids are random, so no state is kept.
+    Each micro-batch is a batch of the store, named by the checkpoint and its number, with ids like those of appended
+    records. A restart from the checkpoint adds nothing twice: a batch that the store already has is passed over, and one
+    that a lost driver left unfinished is written anew.
     """
-    checked = checked_customers(read_customer_stream(spark, source))
-    routed = checked.select(
-        F.expr("uuid()").alias("id"), *CUSTOMER_SCHEMA.fieldNames(), "reasons",
-        F.when(F.size("reasons") == 0, F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"))
+    name = f"stream-{hashlib.sha256(checkpoint.rstrip('/').encode()).hexdigest()[:16]}"
+
+    def take(records: DataFrame, number: int) -> None:
+        append_customers(records, store, f"{name}-{number}")
+
     return (
-        routed.writeStream.format("parquet").partitionBy("outcome")
-        .option("path", sink).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        read_customer_stream(spark, source).writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def streamed_customers(spark: SparkSession, sink: str) -> tuple[DataFrame, DataFrame]:
+def streamed_customers(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) records stored so far; the folder partition prunes the other kind."""
-    stored = spark.read.parquet(sink)
-    accepted = stored.where(F.col("outcome") == "accepted").drop("outcome", "reasons")
-    return accepted, stored.where(F.col("outcome") == "rejected").drop("outcome")
+    return load_customers(spark, store), rejected_customers(spark, store)
 
 
 def stream_scores(accounts: DataFrame, champion: Champion, sink: str, checkpoint: str,

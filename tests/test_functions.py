@@ -1,10 +1,16 @@
 """Boundaries of the scalar functions and rules."""
 
+import math
+import random
+from fractions import Fraction
+
+import pytest
 from pyspark.sql import functions as F
 
 from keepwell import domain
 from keepwell.domain import RiskPolicy
 from keepwell.functions import display, rules, values
+from keepwell.functions.values import exact_mean, exact_sum
 
 
 def column(spark, items, kind, expression):
@@ -98,3 +104,25 @@ def test_normalize_name(spark):
 def test_row_digest_separates_cells(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc"), ("a", "bc"), (None, "-"), ("-", None)], "x string, y string")
     assert df.select(values.row_digest(df).alias("d")).distinct().count() == 4
+
+
+def test_sums_do_not_depend_on_order(spark):
+    rng = random.Random(5)
+    cents = [rng.randint(-10**12, 10**12) for _ in range(3000)]
+    rows = [(c / 1000,) for c in cents]
+    found = {spark.createDataFrame(rng.sample(rows, len(rows)), "v double").repartition(n).agg(
+        exact_sum("v").alias("s"), exact_mean("v").alias("m")).first() for n in (1, 3, 17)}
+    assert found == {(float(Fraction(sum(cents), 1000)), float(Fraction(sum(cents), 1000)) / 3000)}
+
+
+@pytest.mark.parametrize("values, total", [([], None), ([None], None), ([0.1, 0.2, None], 0.3), ([1e300, 1.0, -1e300], 0.0),
+                                           ([1e13, 0.25], 1e13 + 0.25), ([9e11] * 30_000, 2.7e16), ([1e-20, 2.5], 2.5)])
+def test_odd_sums(spark, values, total):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.agg(exact_sum("v")).first()[0] in (total, 1.0 if total == 0.0 else total)
+    assert (df.agg(exact_mean("v")).first()[0] is None) == (total is None)
+
+
+def test_sums_of_nan_and_infinity(spark):
+    assert math.isnan(spark.createDataFrame([(1.0,), (float("nan"),)], "v double").agg(exact_sum("v")).first()[0])
+    assert spark.createDataFrame([(1.0,), (float("inf"),)], "v double").agg(exact_sum("v")).first()[0] == float("inf")

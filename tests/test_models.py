@@ -1,9 +1,11 @@
 """Splits, training, scoring and explanations."""
 
+import pickle
 from itertools import combinations
 from math import factorial, prod
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -53,6 +55,74 @@ def test_splits_and_folds_keep_class_shares(accounts, exact):
             assert min(abs(r["n"] / df.count() - s) for s in sizes) < (0.002 if exact else 0.04)
 
 
+def test_sides_equal_fits_of_their_own(spark):
+    """Medians, modes, means and deviations of overlapping sides, against each side taken alone."""
+    rng = np.random.default_rng(2)
+    n = 500
+    frame = pd.DataFrame({"part": rng.integers(0, 3, n), "x": rng.normal(1e6, 1, n).round(3), "y": rng.integers(0, 4, n).astype(float),
+                          "t": rng.choice(["a", "b", "c'\\", ""], n), "label": rng.integers(0, 2, n)}).astype({"t": object})
+    frame.loc[rng.random(n) < 0.2, "x"] = np.nan
+    frame.loc[rng.random(n) < 0.2, "t"] = None
+    frame.loc[frame["part"] == 2, "y"] = np.nan
+    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "part int, x double, y double, t string, label int")
+    sides = [[1, 2], [0, 2], [0, 1], [2], [0, 1, 2]]
+    learned = preprocessing.learn_sides(df, ["x", "y"], ["t"], sides, F.col("part"), 3, "label")
+    for parts, side in zip(sides, learned):
+        own = frame[frame["part"].isin(parts)]
+        assert side.rows == len(own) and side.labels == {str(k): v for k, v in own["label"].value_counts().items()}
+        for c in ("x", "y"):
+            median = own[c].median() if own[c].notna().any() else None
+            filled = own[c].fillna(median or 0.0)
+            assert side.medians[c] == median
+            assert side.means[c] == pytest.approx(filled.mean(), rel=1e-12)
+            assert side.deviations[c] == pytest.approx(filled.std(), rel=1e-9)
+        counts = own["t"].replace("", None).value_counts()  # an empty text is missing
+        assert side.modes["t"] == min(counts[counts == counts.max()].index)
+        assert side.categories["t"] == sorted(counts.index)
+        alone = preprocessing.preprocessor(["x", "y"], ["t"]).fit(df.where(F.col("part").isin(parts))).transform(df)
+        shared = preprocessing.fitted(spark, side).transform(df)
+        columns = [vector_to_array("features").alias("f")]
+        for mine, theirs in zip(shared.select(columns).collect(), alone.select(columns).collect()):
+            assert np.allclose(mine["f"], theirs["f"], rtol=1e-9, atol=1e-9)
+
+
+def test_columns_without_any_value(spark):
+    df = spark.createDataFrame([(None, 1.0, None, "a"), (None, 2.0, "", "b")], "x double, y double, t string, u string")
+    model = preprocessing.preprocessor(["x", "y"], ["t", "u"]).fit(df)
+    assert preprocessing.feature_names(model) == ["x", "y", "u_a", "u_b"]
+    rows = [r["f"] for r in model.transform(df).select(vector_to_array("features").alias("f")).collect()]
+    assert [r[0] for r in rows] == [0.0, 0.0] and [r[2:] for r in rows] == [[1.0, 0.0], [0.0, 1.0]]
+
+
+def test_search_goes_on_where_it_was_lost(spark, accounts, monkeypatch):
+    settings = training.quick_settings(folds=2, fold_parallelism=1, parallelism=1, draws={LOGISTIC: 2, FOREST: 1, BOOSTING: 1})
+    spaces = {BOOSTING: SPACE, FOREST: {"n_estimators": [3], "max_depth": [4], "min_samples_leaf": [1], "max_features": ["sqrt"]}}
+    frame, ledger = training.prepare(accounts, settings), new_path(spark, "ledger")
+    real, fits = training.tuned, []
+
+    def counted(kind, drawn, *rest):
+        if len(fits) == 5 and not resumed:
+            raise RuntimeError("the driver is lost")
+        fits.append(kind)
+        return real(kind, drawn, *rest)
+
+    monkeypatch.setattr(training, "tuned", counted)
+    resumed = False
+    with pytest.raises(RuntimeError):
+        training.random_search(frame, settings, spaces=spaces, ledger=ledger)
+    assert len(training.read_trials(spark, ledger)) == 5
+    resumed = True
+    results = training.random_search(frame, settings, spaces=spaces, ledger=ledger)
+    assert len(fits) == 8 and {r.kind for r in results} == {LOGISTIC, FOREST, BOOSTING}
+    assert training.random_search(frame, settings, spaces=spaces, ledger=ledger) == results and len(fits) == 8
+    # other settings are other trials
+    training.random_search(frame, training.replace(settings, seed=7), [BOOSTING], spaces, ledger)
+    assert len(fits) == 10
+    best = training.tuning_summary(spark, results).collect()
+    assert [r["roc_auc"] for r in best] == sorted((r["roc_auc"] for r in best), reverse=True)
+
+
 def test_every_training_row_is_predicted_once(trained, accounts):
     _, oof, tested, _ = trained
     frame = training.prepare(accounts, SETTINGS)
@@ -124,19 +194,25 @@ def test_logistic_has_no_tree_explanation(spark, trained, accounts):
         explaining.explain(accounts, model)
 
 
-def _brute_force(leaves, x, features):
+def _paths(trees):
+    """Of every leaf: its value, and of each feature on its path the interval and the share of the cover."""
+    for tree in trees:
+        for leaf in np.flatnonzero(tree["child"] < 0):
+            path, node = {}, leaf
+            while node > 0:
+                path.setdefault(tree["feature"][node], (tree["low"][node], tree["high"][node], tree["share"][node]))
+                node = tree["parent"][node]
+            yield tree["value"][leaf], path
+
+
+def _brute_force(trees, x, features):
     """Shapley values by definition: average marginal worth over all coalitions."""
-    used = sorted({f for leaf in leaves for f in leaf["features"]})
+    leaves = list(_paths(trees))
+    used = sorted({f for _, path in leaves for f in path})
 
     def worth(known):
-        total = 0.0
-        for leaf in leaves:
-            factors = []
-            for i, f in enumerate(leaf["features"]):
-                inside = leaf["low"][i] < x[f] <= leaf["high"][i]
-                factors.append(float(inside) if f in known else leaf["share"][i])
-            total += leaf["value"] * prod(factors)
-        return total
+        return sum(value * prod(float(low < x[f] <= high) if f in known else share
+                                for f, (low, high, share) in path.items()) for value, path in leaves)
 
     phi = np.zeros(features)
     m = len(used)
@@ -149,6 +225,37 @@ def _brute_force(leaves, x, features):
     return phi
 
 
+def _random_tree(rng, depth, features):
+    """Nodes as Spark stores them, with some features met again on a path."""
+    rows = []
+
+    def grow(level, cover):
+        number = len(rows)
+        rows.append(None)
+        if level == depth or (level > 1 and rng.random() < 0.2):
+            rows[number] = (number, -1, -1, cover, rng.normal(), -1, np.nan, True, False, np.nan, np.nan)
+            return number
+        name, part = int(rng.integers(features)), rng.uniform(0.1, 0.9)
+        left = grow(level + 1, cover * part)
+        right = grow(level + 1, cover * (1 - part))
+        rows[number] = (number, left, right, cover, 0.0, name, rng.normal(), name % 3 > 0, bool(name % 2), np.nan, np.nan)
+        return number
+
+    grow(0, 100.0)
+    return pd.DataFrame(rows, columns=["id", "leftChild", "rightChild", "cover", "prediction", "feature", "cut", "ordered",
+                                       "zero_left", "positives", "weighed"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shapley_values_of_random_trees(seed):
+    rng = np.random.default_rng(seed)
+    trees = [explaining.arranged(_random_tree(rng, depth, 6), 0.7, True) for depth in (0, 1, 4, 6)]
+    x = rng.normal(size=(5, 6)).round()
+    phi = explaining.contributions(trees, x)
+    for row, mine in zip(x, phi):
+        assert np.allclose(mine, _brute_force(trees, row, 6), atol=1e-12)
+
+
 @pytest.mark.parametrize("kind", [BOOSTING, FOREST])
 def test_explanations_equal_brute_force_and_add_up(spark, accounts, kind):
     columns = (["tenure", "MonthlyCharges"], ["Contract", "InternetService"])
@@ -159,28 +266,41 @@ def test_explanations_equal_brute_force_and_add_up(spark, accounts, kind):
                                      new_path(spark, "small"))[kind]
     few = accounts.orderBy("customerID").limit(6)
     names = preprocessing.feature_names(model)
-    leaves = explaining.read_leaves(spark, explaining.classifier_of(model))
+    packed = explaining.packed_trees(spark, explaining.classifier_of(model)).orderBy("tree").collect()
+    trees = [pickle.loads(r["packed"]) for r in packed]
     out = "rawPrediction" if kind == BOOSTING else "probability"
     rows = model.transform(typed_accounts(few)).select(
         "customerID", vector_to_array("features").alias("x"), vector_to_array(out)[1].alias("total")).collect()
     found = {}
-    for r in explaining.explain(few, model).collect():
+    # a group for each tree: several passes add up
+    for r in explaining.explain(few, model, group_bytes=1).collect():
         found.setdefault(r["customerID"], {})[r["feature"]] = r["shap"]
     for row in rows:
-        expected = _brute_force(leaves, row["x"], len(names))
+        expected = _brute_force(trees, row["x"], len(names))
         mine = [found[row["customerID"]][n] for n in names]
         assert np.allclose(mine, expected, atol=1e-9)
-        assert explaining.base_value(leaves) + sum(mine) == pytest.approx(row["total"], abs=1e-9)
-
-
-def test_deep_leaves_need_no_table():
-    rng = np.random.default_rng(0)
-    leaf = {"value": 2.0, "features": list(range(12)), "low": np.full(12, -np.inf), "high": np.zeros(12),
-            "share": rng.uniform(0.1, 0.9, 12)}
-    x = rng.normal(size=(5, 12))
-    phi = explaining.contributions([leaf], x)
-    totals = 2.0 * np.all(x <= 0, axis=1) - explaining.base_value([leaf])
-    assert "table" not in leaf and np.allclose(phi.sum(axis=1), totals)
+        assert explaining.base_value(trees) + sum(mine) == pytest.approx(row["total"], abs=1e-9)
+
+
+def test_deep_paths_of_many_features():
+    """A path of 30 different features: values add up, and equal features get equal values."""
+    rows, cover = [], 1.0
+    for level in range(30):
+        left, right = 2 * level + 1, 2 * level + 2
+        rows.append((2 * level, left, right, cover, 0.0, level, 0.5, True, False, np.nan, np.nan))
+        rows.append((left, -1, -1, cover * 0.4, 0.0, -1, np.nan, True, False, np.nan, np.nan))
+        cover *= 0.6
+    rows.append((60, -1, -1, cover, 2.0, -1, np.nan, True, False, np.nan, np.nan))
+    tree = explaining.arranged(pd.DataFrame(rows, columns=[
+        "id", "leftChild", "rightChild", "cover", "prediction", "feature", "cut", "ordered", "zero_left", "positives",
+        "weighed"]), 1.0, True)
+    phi = explaining.contributions([tree], np.ones((1, 30)))[0]
+    assert phi.sum() == pytest.approx(2.0 - 2.0 * 0.6**30) and np.allclose(phi, phi[0], rtol=1e-12)
+
+
+def test_tree_groups_have_a_size_bound():
+    assert explaining.tree_groups([(0, 5), (1, 5), (2, 1), (3, 20), (4, 1)], 10) == [[0, 1], [2], [3], [4]]
+    assert explaining.tree_groups([], 10) == []
 
 
 def test_renewal_scores_every_customer(spark):

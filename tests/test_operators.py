@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from keepwell import domain
-from keepwell.operators import comparison, portfolio, profiling, selection
+from keepwell.operators import comparison, pairwise, portfolio, profiling, selection
 from tests.conftest import one
 
 CUSTOMER = "name string, usage double, tickets int, nps int, renewal_status string"
@@ -163,3 +163,43 @@ def test_comparison_has_fourteen_rows(pair_frames):
     assert shown["Total Charges"] == ("$100.00", "Not available")
     assert shown["Risk Tier"] == ("HIGH", "LOW")
     assert shown["Actual Churn"] == ("No", "Not available")
+
+
+@pytest.mark.parametrize("block, rows", [(32, 20_000), (3, 20), (1, 7)])
+def test_correlations_of_columns_with_gaps(spark, monkeypatch, block, rows):
+    """Complete pairs as pandas takes them; offsets far from zero, constants, empty columns and columns of one value."""
+    monkeypatch.setattr(pairwise, "ROWS", rows)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 7)) @ rng.normal(size=(7, 7)) * 10.0 ** np.arange(-3, 4) + [0, 1e9, -5, 0, 1e6, 0, 3]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    frame = pd.DataFrame(x, columns=[f"c {k}" for k in range(7)])
+    frame["same"], frame["none"], frame["once"] = 0.1, np.nan, [5.0] + [np.nan] * 299
+    frame["late"] = [np.nan] * 200 + [0.1] * 50 + [7.3] * 50
+    df = spark.createDataFrame([tuple(r) for r in frame.to_numpy().tolist()], ", ".join(f"`{c}` double" for c in frame))
+    want = (frame - frame.median()).corr()
+    found = pairwise.correlation_table(df.repartition(5), df.columns, block).collect()
+    assert len(found) == len({(r["i"], r["j"]) for r in found}) == 11 * 10 // 2
+    for r in found:
+        expected = want.iloc[r["i"], r["j"]]
+        if np.isnan(expected) or "same" in (df.columns[r["i"]], df.columns[r["j"]]):
+            assert r["correlation"] is None
+        else:
+            assert r["correlation"] == pytest.approx(expected, abs=1e-9)
+
+
+def test_correlations_of_an_empty_table_and_infinities(spark):
+    empty = spark.createDataFrame([], "a double, b int, c decimal(9,2)")
+    assert [(r["first"], r["second"], r["correlation"]) for r in profiling.correlations(empty).orderBy("i", "j").collect()] == [
+        ("a", "b", None), ("a", "c", None), ("b", "c", None)]
+    odd = spark.createDataFrame([(1.0, 2.0, float("inf")), (2.0, 4.5, 1.0), (3.0, 6.0, 2.0)], "a double, b double, c double")
+    found = {(r["i"], r["j"]): r["correlation"] for r in profiling.correlations(odd).collect()}
+    assert found[0, 1] == pytest.approx(0.989743318610787) and found[0, 2] is None and found[1, 2] is None
+    assert profiling.strongest_pair(odd).first()["first"] == "a"
+    assert profiling.correlations(odd.select("a")).count() == 0
+
+
+def test_profile_counts_long_texts_by_digest(spark):
+    long = "x" * 5000
+    rows = [(long + "1",), (long + "2",), (long + "1",), (None,), ("x" * 32,), ("x" * 33,)]
+    row = profiling.profile(spark.createDataFrame(rows, "t string")).first()
+    assert (row["missing"], row["unique"]) == (1, 4)

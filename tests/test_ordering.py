@@ -93,3 +93,57 @@ def test_hashed_rank_is_a_permutation_of_each_group(spark):
         ranks = sorted(r["_rank"] for r in rows if r["big"] == flag)
         assert ranks == list(range(len(ranks)))
         assert {r["_size"] for r in rows if r["big"] == flag} == {len(ranks)}
+
+
+@pytest.mark.parametrize("coarse", [ordering.SLICES, 4])
+@pytest.mark.parametrize("slice_rows", [1, 7, 100_000])
+def test_any_number_of_slices_gives_the_same(spark, numbers, monkeypatch, coarse, slice_rows):
+    monkeypatch.setattr(ordering, "SLICES", coarse)
+    monkeypatch.setattr(ordering, "SLICE_ROWS", slice_rows)
+    df = spark.createDataFrame(numbers, "g string, v double")
+    points = [0.0, 0.1, 0.5, 0.75, 1.0]
+    for r in ordering.exact_quantiles(df, "v", points, ["g"]).collect():
+        assert r["quantiles"] == [float(x) for x in np.quantile([v for g, v in numbers if g == r["g"]], points)]
+    assert ordering.exact_quantiles(df, "v", [0.5]).first()["quantiles"] == [float(np.quantile([v for _, v in numbers], 0.5))]
+    counts = df.groupBy("v").agg(F.count("*").alias("n"))
+    for r in ordering.running_totals(counts, "v", ["n"], descending=True).collect():
+        assert r["n_before"] == sum(v > r["v"] for _, v in numbers)
+
+
+def test_slices_follow_the_rows():
+    assert [ordering.slices_for(n, 100) for n in (0, 1, 100, 101, 200, 201, 100_000)] == [1, 1, 1, 2, 2, 4, 1024]
+
+
+def test_fine_slices_have_a_size(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SLICES", 16)
+    df = spark.range(20_000).select((F.col("id") * F.col("id")).cast("double").alias("v"))
+    found = ordering.with_slices(df, "v", 256)
+    sizes = [r["count"] for r in found.groupBy("_slice").count().collect()]
+    assert len(sizes) > 200 and max(sizes) <= 4 * 20_000 / 256
+    ordered = [r["_slice"] for r in found.orderBy("v").select("_slice").collect()]
+    assert ordered == sorted(ordered)
+
+
+@pytest.mark.parametrize("rows", [1, 100_000])
+def test_running_totals_over_an_aggregate_of_a_scan(spark, sf, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "SLICE_ROWS", rows)
+    prices = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_extendedprice").agg(F.count("*").alias("n"))
+    found = ordering.running_totals(prices, "l_extendedprice", ["n"]).orderBy("l_extendedprice").collect()
+    before = 0
+    for r in found:
+        assert r["n_before"] == before
+        before += r["n"]
+
+
+def test_quantiles_of_several_weights(spark, numbers):
+    table = {}
+    for place, (g, v) in enumerate(numbers):
+        table.setdefault((g, v), [0, 0, 0])[place % 2] += 1
+    counts = spark.createDataFrame([(g, v, *n) for (g, v), n in table.items()], "g string, v double, a long, b long, none long")
+    for rows in (5, 100_000):
+        for r in ordering.quantiles_of_counts(counts, "v", ["a", "b", "none"], [0.25, 0.5], ["g"], rows).collect():
+            for place, w in enumerate("ab"):
+                mine = [v for i, (g, v) in enumerate(numbers) if g == r["g"] and i % 2 == place]
+                assert r[f"{w}_total"] == len(mine)
+                assert r[f"{w}_quantiles"] == [float(x) for x in np.quantile(mine, [0.25, 0.5])]
+            assert r["none_total"] == 0 and r["none_quantiles"] == [None, None]
