@@ -1,10 +1,14 @@
 """Model building, scoring and explaining (family I).
 
-Models are small here so that checking is quick, but every account is trained on, predicted, scored and explained.
+Models have fewer trees, draws and folds here than `TrainingSettings()`, whose forests take minutes a fit (figures in
+README.md), but every account is trained on, predicted, scored and explained. Logistic regression, the renewal model and
+the statistics of the folds have their full settings.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -127,18 +131,19 @@ def i12(spark, sf):
 
 
 # ---- classifiers, comparison, search ------------------------------------------------------------
-def _single(spark, sf, kind: str) -> DataFrame:
+def _single(spark, sf, kind: str, settings: training.TrainingSettings = SETTINGS) -> DataFrame:
     """Holdout metrics of one classifier."""
-    data, path = frame(spark, sf), new_path(spark, "single")
-    training.fit_and_predict(
-        training.training_rows(data), data.where("split = 'test'"),
-        lambda rows: {kind: training.candidates(SETTINGS, rows)[kind]}, SETTINGS, path)
+    path = new_path(spark, "single")
+    with training.kept(frame(spark, sf)) as data:
+        training.fit_and_predict(
+            training.training_rows(data), data.where("split = 'test'"),
+            lambda rows: {kind: training.candidates(settings, rows)[kind]}, settings, path)
     return training.evaluate(spark.read.parquet(path), 0.5)
 
 
 @query("i09_logistic")
 def i09(spark, sf):
-    return _single(spark, sf, LOGISTIC)
+    return _single(spark, sf, LOGISTIC, replace(SETTINGS, logistic_iterations=training.TrainingSettings().logistic_iterations))
 
 
 @query("i10_forest")
@@ -202,13 +207,13 @@ def i15(spark, sf):
     return oof.select("model", "fold", "customerID", "label", F.col("probability").between(0, 1).alias("in_range"))
 
 
-SMALL_SPACE = {"n_estimators": [5, 10], "learning_rate": [0.05, 0.1], "max_depth": [2, 3], "min_samples_leaf": [1],
-               "subsample": [1.0]}
+# the published spaces but for the number of trees
+SPACES = {FOREST: {**domain.FOREST_SPACE, "n_estimators": [5, 10]}, BOOSTING: {**domain.BOOSTING_SPACE, "n_estimators": [5, 10]}}
 
 
 @query("i16_random_search")
 def i16(spark, sf):
-    results = training.random_search(frame(spark, sf), SETTINGS, [LOGISTIC, BOOSTING], {BOOSTING: SMALL_SPACE})
+    results = training.random_search(frame(spark, sf), replace(SETTINGS, draws=dict.fromkeys(SETTINGS.draws, 1)), spaces=SPACES)
     return training.tuning_summary(spark, results)
 
 
@@ -216,11 +221,12 @@ CHAMPIONS: dict[tuple[str, str], str] = {}
 
 
 def champion(spark, sf):
-    """A small boosted champion, trained and saved once per application."""
+    """The best boosted model of a search over all three classifiers, trained and saved once per application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in CHAMPIONS:
         path = new_path(spark, "champion")
-        training.train_champion(uploaded(spark, sf), SETTINGS, path, [BOOSTING], {BOOSTING: SMALL_SPACE})
+        settings = replace(SETTINGS, draws={LOGISTIC: 1, FOREST: 1, BOOSTING: 2})
+        training.train_champion(uploaded(spark, sf), settings, path, spaces=SPACES, choose=BOOSTING)
         CHAMPIONS[key] = path
     return load_champion(spark, CHAMPIONS[key])
 
@@ -288,11 +294,11 @@ def i20_sums(spark, sf):
 FORESTS: dict[tuple[str, str], str] = {}
 
 
-def full_forest(spark, sf):
-    """A forest with the default settings (300 trees, no depth limit), fitted and saved once per application."""
+def deep_forest(spark, sf):
+    """A forest of the default depth, which is none, but of 10 trees; fitted and saved once per application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in FORESTS:
-        full, path = training.TrainingSettings(), new_path(spark, "forest")
+        full, path = training.TrainingSettings(forest_trees=10), new_path(spark, "forest")
         data = training.prepare(uploaded(spark, sf), full)
         training.fit_and_predict(
             training.training_rows(data), data.where("split = 'test'"),
@@ -306,7 +312,7 @@ def full_forest(spark, sf):
 select count(*) as customers, 0 as off, 45 as features from accounts""")
 def i20_forest(spark, sf):
     """For every account, base value and contributions of a forest of full depth add up to its probability."""
-    data, model = uploaded(spark, sf), full_forest(spark, sf)
+    data, model = uploaded(spark, sf), deep_forest(spark, sf)
     explained = explaining.explain(data, model).groupBy("customerID").agg(
         (F.sum("shap") + F.max("base")).alias("total"), F.count("*").alias("features"))
     scored = model.transform(typed_accounts(data)).select("customerID", vector_to_array("probability")[1].alias("p"))
@@ -318,7 +324,7 @@ def i20_forest(spark, sf):
 @query("i21_renewal")
 def i21(spark, sf):
     customers = views.customers(spark, sf)
-    model = renewal.train_renewal(renewal.with_renewal_label(customers), trees=20, depth=8)
+    model = renewal.train_renewal(renewal.with_renewal_label(customers))
     return renewal.score_renewal(customers, model)
 
 

@@ -44,9 +44,9 @@ def a01_line_breaks(spark, sf):
 
 
 # order lines as text, some with a value too many or too few
-RAGGED = """select concat_ws(',', cast(l_orderkey as string), cast(l_linenumber as string),
+RAGGED = '''select concat_ws(',', cast(l_orderkey as string), cast(l_linenumber as string),
   case when l_partkey % 7 = 0 then concat('"', l_returnflag, '",extra') when l_partkey % 7 = 1 then null
-       else concat('"', l_returnflag, ', ""', l_linestatus, '"""') end) as `order,line,flag` from {lineitem}"""
+       else concat('"', l_returnflag, ', ""', l_linestatus, '"""') end) as `order,line,flag` from {lineitem}'''
 
 
 @query("a01_read_csv_quarantine", """
@@ -171,9 +171,8 @@ def a12(spark, sf):
     incoming(spark, sf).write.json(f"{base}/in")
     stream_customers(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     accepted, rejected = streamed_customers(spark, f"{base}/out")
-    both = accepted.withColumn("outcome", F.lit("accepted")).unionByName(
+    return accepted.drop("id").withColumn("outcome", F.lit("accepted")).unionByName(
         rejected.drop("reasons").withColumn("outcome", F.lit("rejected")))
-    return both.drop("id")
 
 
 @query("a12_stream_then_load", over("customers", INCOMING_CTE) + f"""
