@@ -260,6 +260,26 @@ def i18(spark, sf):
     return scored.select("customerID", *scoring.SCORE_COLUMNS).withColumn("actions", F.concat_ws(" | ", "actions"))
 
 
+@query("i18_every_account_is_scored", over("accounts") + """
+select count(*) as customers, 0 as unscored, 0 as off_tier, 0 as without_actions from accounts""")
+def i18_complete(spark, sf):
+    """Each account has a probability, the tier of that probability, and actions; the tier is worked out once more."""
+    scored = scoring.score(uploaded(spark, sf), champion(spark, sf))
+    p = F.col("probability")
+    tier = F.when(p < 0.15, "LOW").when(p < 0.33, "MEDIUM").when(p < 0.6, "HIGH").otherwise("CRITICAL")
+    return scored.agg(
+        F.count_distinct("customerID").alias("customers"), F.count_if(~F.coalesce(p.between(0, 1), F.lit(False))).alias("unscored"),
+        F.count_if(~F.col("risk_tier").eqNullSafe(tier)).alias("off_tier"),
+        F.count_if(F.coalesce(F.size("actions"), F.lit(0)) < 1).alias("without_actions"))
+
+
+@query("i19_importances_add_up", "select 45 as features, 1e0 as total, 0 as negative")
+def i19_sums(spark, sf):
+    found = explaining.feature_importance(champion(spark, sf).pipeline, spark)
+    return found.agg(F.count_distinct("Feature").alias("features"), F.round(F.sum("Importance"), 9).alias("total"),
+                     F.count_if(F.col("Importance") < 0).alias("negative"))
+
+
 @query("i22_score_without_model", over("accounts") + """
 select customerID, null::double as probability, null::varchar as risk_tier, null::varchar as actions from accounts""")
 def i22(spark, sf):

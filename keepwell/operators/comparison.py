@@ -96,7 +96,7 @@ def customer_differences(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     charges_a, charges_b = of("MonthlyCharges")
     p_a, p_b = of("probability")
     sentences = [
-        F.when(~tenure_a.eqNullSafe(tenure_b), shorter),
+        F.when(tenure_a != tenure_b, shorter),  # a missing tenure is not shorter than another
         F.when(charges_a != charges_b, leads(charges_a > charges_b, " has higher monthly charges.")),
     ]
     for label, column in [

@@ -16,6 +16,7 @@ from keepwell.functions.values import exact_mean, exact_sum, quoted, row_digest,
 from keepwell.operators.cleaning import long_form, numeric_columns
 from keepwell.operators.ordering import quantiles
 from keepwell.operators.pairwise import correlation_table
+from keepwell.session import stored
 
 MAX_BROADCAST_GROUPS = 10_000
 DIGEST_BYTES = 32
@@ -194,7 +195,7 @@ def _with_fences(df: DataFrame, column: str, by: str | None, exact: bool, *keep:
     fences = box_fences(df, column, by, exact)
     if by:
         # a column of few groups must not send each group to one task; the fences are counted before they are broadcast
-        fences = fences.persist()
+        fences = stored(fences, "fences")
         few = fences.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
         return values.join(F.broadcast(fences) if few else fences, by)
     fence = fences.select(F.struct("*").alias("fence")).scalar()

@@ -198,6 +198,15 @@ def test_correlations_of_an_empty_table_and_infinities(spark):
     assert profiling.correlations(odd.select("a")).count() == 0
 
 
+def test_no_tenure_is_shorter_than_a_missing_one(spark):
+    names = "customerID string, tenure long, MonthlyCharges double, Contract string, InternetService string, PaymentMethod string, " \
+        "TechSupport string, OnlineSecurity string, PaperlessBilling string, TotalCharges double, Churn string, probability double"
+    rows = [(k, t, 1.0, *["x"] * 6, 2.0, "No", 0.5) for k, t in (("A", 5), ("B", None), ("C", 9))]
+    pairs = spark.createDataFrame([("A", "B"), ("B", "A"), ("A", "C")], "a string, b string")
+    found = comparison.customer_differences(spark.createDataFrame(rows, names), pairs).collect()
+    assert [(r["a"], r["b"], r["difference"]) for r in found] == [("A", "C", "Customer A has shorter tenure than Customer B.")]
+
+
 def test_profile_counts_long_texts_by_digest(spark):
     long = "x" * 5000
     rows = [(long + "1",), (long + "2",), (long + "1",), (None,), ("x" * 32,), ("x" * 33,)]
