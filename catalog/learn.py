@@ -225,7 +225,7 @@ def champion(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in CHAMPIONS:
         path = new_path(spark, "champion")
-        settings = replace(SETTINGS, draws={LOGISTIC: 1, FOREST: 1, BOOSTING: 2})
+        settings = replace(SETTINGS, draws={LOGISTIC: 1, FOREST: 1, BOOSTING: 1})
         training.train_champion(uploaded(spark, sf), settings, path, spaces=SPACES, choose=BOOSTING)
         CHAMPIONS[key] = path
     return load_champion(spark, CHAMPIONS[key])

@@ -19,6 +19,7 @@ from keepwell.operators.ordering import exact_quantiles, quantiles_of_counts
 from keepwell.session import stored
 
 FEATURES = "features"
+FEW_CATEGORIES = 64  # up to so many are comparisons in SQL, more are indexed and encoded
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -163,19 +164,27 @@ def fitted(spark: SparkSession, side: Side) -> PipelineModel:
         scaled = f"({value} - {side.means[c]!r}D) / {spread!r}D" if spread > 0 else "0D"
         numbers.append(f"{scaled} as `n_{c}`")
     known = {c: m for c, m in side.modes.items() if m is not None}
-    texts = [f"coalesce(nullif(cast(`{c}` as string), ''), {_sql_text(m)}) as `c_{c}`" for c, m in known.items()]
-    stages = [SQLTransformer(statement=f"select *, {', '.join([*numbers, *texts])} from __THIS__"),
-              VectorAssembler(inputCols=[f"n_{c}" for c in side.medians], outputCol="numbers")]
-    slots = ["numbers"]
-    if known:
-        names, coded = list(known), [f"i_{c}" for c in known]
-        indexers = [StringIndexerModel.from_labels(side.categories[c], f"c_{c}", f"i_{c}", "keep") for c in names]
-        encoder = OneHotEncoder(inputCols=coded, outputCols=[f"v_{c}" for c in names], dropLast=True)
+    filled = {c: f"coalesce(nullif(cast(`{c}` as string), ''), {_sql_text(m)})" for c, m in known.items()}
+    few = [c for c in known if len(side.categories[c]) <= FEW_CATEGORIES]
+    many = [c for c in known if c not in few]
+    slots = {_slot(c, v): f"cast({filled[c]} = {_sql_text(v)} as double)" for c in few for v in side.categories[c]}
+    texts = [f"{text} as `{name}`" for name, text in slots.items()] + [f"{filled[c]} as `c_{c}`" for c in many]
+    stages = [SQLTransformer(statement=f"select *, {', '.join([*numbers, *texts])} from __THIS__")]
+    if many:
+        indexers = [StringIndexerModel.from_labels(side.categories[c], f"c_{c}", f"i_{c}", "keep") for c in many]
+        encoder = OneHotEncoder(inputCols=[f"i_{c}" for c in many], outputCols=[f"v_{c}" for c in many], dropLast=True)
         # the number of categories is in the columns' metadata, so an empty table is enough to fit it
-        nothing = spark.createDataFrame([], ", ".join(f"`c_{c}` string" for c in names))
+        nothing = spark.createDataFrame([], ", ".join(f"`c_{c}` string" for c in many))
         stages += [*indexers, encoder.fit(PipelineModel(stages=indexers).transform(nothing))]
-        slots += encoder.getOutputCols()
-    return PipelineModel(stages=[*stages, VectorAssembler(inputCols=slots, outputCol=FEATURES)])
+    parts = [f"n_{c}" for c in side.medians]
+    for c in known:
+        parts += [_slot(c, v) for v in side.categories[c]] if c in few else [f"v_{c}"]
+    return PipelineModel(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=FEATURES)])
+
+
+def _slot(column: str, category: str) -> str:
+    """A column's name for one category; the category is spelled in hexadecimal, as names don't take every character."""
+    return f"s_{column}_{category.encode().hex()}"
 
 
 class Preprocessor:
@@ -195,12 +204,18 @@ def preprocessor(numeric: Sequence[str] = tuple(domain.NUMERIC_FEATURES),
 
 def feature_names(model: PipelineModel) -> list[str]:
     """Names of the feature slots: bare numeric columns, then `column_category`."""
+    stages = flat_stages(model)
+    indexed = {s.getInputCol().removeprefix("c_"): s.labels for s in stages if isinstance(s, StringIndexerModel)}
     names: list[str] = []
-    for stage in flat_stages(model):
-        if isinstance(stage, VectorAssembler) and stage.getOutputCol() == "numbers":
-            names = [c.removeprefix("n_") for c in stage.getInputCols()] + names
-        elif isinstance(stage, StringIndexerModel):
-            names += [f"{stage.getInputCol().removeprefix('c_')}_{label}" for label in stage.labels]
+    for part in next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols():
+        kind, column = part[:2], part[2:]
+        if kind == "n_":
+            names.append(column)
+        elif kind == "v_":
+            names += [f"{column}_{label}" for label in indexed[column]]
+        else:
+            column, category = column.rsplit("_", 1)
+            names.append(f"{column}_{bytes.fromhex(category).decode()}")
     return names
 
 

@@ -7,6 +7,7 @@ from math import factorial, prod
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -87,6 +88,21 @@ def test_sides_equal_fits_of_their_own(spark):
             assert np.allclose(mine["f"], theirs["f"], rtol=1e-9, atol=1e-9)
 
 
+def test_many_categories_are_encoded_alike(spark, monkeypatch):
+    rows = [(k * 1.5, f"v{k % 7}'`. {k % 3}" if k % 5 else None, "x" if k % 2 else "y") for k in range(40)]
+    df = spark.createDataFrame(rows, "a double, t string, u string")
+    whole = preprocessing.preprocessor(["a"], ["t", "u"]).fit(df)
+    monkeypatch.setattr(preprocessing, "FEW_CATEGORIES", 2)
+    mixed = preprocessing.preprocessor(["a"], ["t", "u"]).fit(df)
+    assert preprocessing.feature_names(whole) == preprocessing.feature_names(mixed)
+    path = new_path(spark, "mixed")
+    mixed.write().save(path)
+    odd = df.unionByName(spark.createDataFrame([(None, "new", "")], df.schema))
+    vectors = [[r["f"] for r in m.transform(odd).select(vector_to_array("features").alias("f")).collect()]
+               for m in (whole, mixed, PipelineModel.load(path))]
+    assert vectors[0] == vectors[1] == vectors[2] and sum(vectors[0][-1][1:]) == 1.0
+
+
 def test_columns_without_any_value(spark):
     df = spark.createDataFrame([(None, 1.0, None, "a"), (None, 2.0, "", "b")], "x double, y double, t string, u string")
     model = preprocessing.preprocessor(["x", "y"], ["t", "u"]).fit(df)
