@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 
 from keepwell.llm.common import text_blocks
 
-#: The pattern of the rank files, written for Python's faster `re` over the characters PLAIN allows.
+#: The pattern of the rank files, and the same written for Python's faster `re` over the characters that
+#: NOT_PLAIN leaves. Texts are split by the second only where the given pattern is the first.
+RANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?[^\s\w]+(?:[^\s\w]|_)*| ?_(?:[^\s\w]|_)*|\s+(?!\S)|\s+"
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 MEMO_PIECES = 600_000
-_LOADED: dict[str, PieceCoder] = {}
+_LOADED: dict[tuple[str, str], PieceCoder] = {}
 
 
 def byte_characters() -> list[str]:
@@ -75,7 +77,8 @@ class PieceCoder:
             ranks = read_ranks(path)
             self.tokenizer = tokenizer_of_ranks(ranks)
             self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.pattern, self.plain = regex.compile(pattern), re.compile(PLAIN_PATTERN)
+        self.pattern = regex.compile(pattern)
+        self.plain = re.compile(PLAIN_PATTERN) if pattern == RANK_PATTERN else None
         self.sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, token in self.bytes_of.items():
             self.sizes[i] = len(token)
@@ -102,6 +105,8 @@ class PieceCoder:
         self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def split(self, text: str) -> list[str]:
+        if self.plain is None:
+            return [match.group() for match in self.pattern.finditer(text)]
         return (self.pattern if NOT_PLAIN.search(text) else self.plain).findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -137,9 +142,9 @@ class PieceCoder:
 
 def coder(path: str, pattern: str) -> PieceCoder:
     """One coder for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceCoder(path, pattern)
-    return _LOADED[path]
+    if (path, pattern) not in _LOADED:
+        _LOADED[path, pattern] = PieceCoder(path, pattern)
+    return _LOADED[path, pattern]
 
 
 def decode_stream(parts: Iterable[bytes]) -> Iterator[str]:
