@@ -57,7 +57,8 @@ class Tree:
         return node
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows of each query: (ids, inner products), -1 where there are fewer. Works on all queries at once;
+        """The k best rows of each query: (places in the tree's order, inner products), the k-th best last, -1 and -inf where
+        there are fewer. Which of several rows at the k-th inner product are found is not set. Works on all queries at once;
         at each node only those go on for which it may hold something better. factor 1 is exact; a larger one leaves a
         branch already when its nearest possible row is farther than the k-th found divided by the factor."""
         n = len(queries)
@@ -81,10 +82,10 @@ class Tree:
                 score = queries[active] @ self.vectors[rows].T
                 score[own[active][:, None] == self.ids[rows][None, :]] = -np.inf
                 scores = np.hstack([best[active], score])
-                ids = np.hstack([names[active], np.broadcast_to(self.ids[rows], score.shape)])
-                top = np.lexsort((ids, -scores), axis=1)[:, :k]
+                places = np.hstack([names[active], np.broadcast_to(np.arange(node.start, node.end), score.shape)])
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
                 best[active] = np.take_along_axis(scores, top, 1)
-                names[active] = np.where(np.isfinite(best[active]), np.take_along_axis(ids, top, 1), -1)
+                names[active] = np.where(np.isfinite(best[active]), np.take_along_axis(places, top, 1), -1)
                 return
             distance = np.sqrt(((points[active] - node.point) ** 2).sum(axis=1))
             gaps = [np.maximum(np.maximum(low - distance, distance - high), 0) for low, high in (node.near, node.far)]
@@ -109,6 +110,33 @@ def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
+def found_rows(tree: Tree, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of the tree for each query by exact score, ties to the smaller id: (query, place in the tree, score).
+
+    The search rounds differently from the score, so it is asked for a few rows more than k. Where the last row that it
+    gave may still tie with the k-th, by the rounding error of an inner product, the query is asked again for twice as many."""
+    out, open_, asked = [], np.arange(len(queries)), k + 4
+    while len(open_):
+        asked = min(asked, len(tree.ids))
+        names, rough = tree.search(queries[open_], own[open_], asked, factor)
+        at, column = np.nonzero(names >= 0)
+        place = names[at, column]
+        score = exact_scores(queries[open_][at], tree.vectors[place])
+        by = np.lexsort((tree.ids[place], -score, at))
+        at, place, score = at[by], place[by], score[by]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        size = np.sqrt((queries[open_] ** 2).sum(axis=1))
+        margin = 4 * queries.shape[1] * np.finfo(float).eps * size * tree.radius
+        kth = np.full(len(open_), -np.inf)
+        kth[at[nth == k - 1]] = score[nth == k - 1]
+        last = rough[:, -1]
+        done = (asked == len(tree.ids)) | ~np.isfinite(last) | (last < kth - margin)
+        good = (nth < k) & done[at]
+        out.append((open_[at[good]], place[good], score[good]))
+        open_, asked = open_[~done], 2 * asked
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (own[:0], own[:0], np.zeros(0))
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """vec_id, embedding as doubles and its size, without vectors that are null, zero, or hold a null or non-finite component."""
     value = F.col("embedding").cast("array<double>")
@@ -121,8 +149,8 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, s
     """query_id, rank, vec_id, score: of every row for which `is_query` holds, its k largest inner products among all others.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, and a query meets only vectors of its
-    own length. Ties go to the smaller vec_id. Repeated ids are candidates and queries each, but never of their own id. The
-    rows are dealt into shards of about `shard_rows`; each shard's tree is built in one task and meets the queries in blocks.
+    own length. Ties go to the smaller vec_id, however many there are. Rows of a repeated id are candidates each, but never of
+    their own id; as queries they share one list of k. Null ids take no part, other columns are ignored. The rows are dealt into shards of about `shard_rows`; each shard's tree is built in one task and meets the queries in blocks.
     Reads the table twice.
     """
     rows = usable(embeddings)
@@ -159,14 +187,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, s
                     continue
                 for at in range(0, len(ids), QUERY_BLOCK):
                     q, v = ids[at:at + QUERY_BLOCK], vectors[at:at + QUERY_BLOCK]
-                    # a few more than k, as the search rounds differently from the score
-                    names, best = tree.search(v, q, k + 4, factor)
-                    query, place = np.nonzero(np.isfinite(best))
-                    found = names[query, place]
-                    lookup = np.argsort(tree.ids, kind="stable")
-                    row = lookup[np.searchsorted(tree.ids, found, sorter=lookup)]
-                    yield pa.record_batch([pa.array(q[query]), pa.array(found),
-                                           pa.array(exact_scores(v[query], tree.vectors[row]))], ["query_id", "vec_id", "score"])
+                    query, place, score = found_rows(tree, v, q, k, factor)
+                    yield pa.record_batch([pa.array(q[query]), pa.array(tree.ids[place]), pa.array(score)],
+                                          ["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
