@@ -20,7 +20,7 @@ CAPACITY, SHARD_PIECES, ISLANDS, EPOCHS = 2048, 2048, 2, 2
 POPULATION, GENERATIONS, ELITE = 6, 12, 2
 
 Bins = list[list[int]]
-_LOADED: dict[str, Encoder] = {}
+_LOADED: dict[tuple[str, str], Encoder] = {}
 
 
 class Encoder:
@@ -49,9 +49,9 @@ class Encoder:
 
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path, pattern)
-    return _LOADED[path]
+    if (path, pattern) not in _LOADED:
+        _LOADED[path, pattern] = Encoder(path, pattern)
+    return _LOADED[path, pattern]
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -178,41 +178,56 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIE
          epochs: int = EPOCHS) -> DataFrame:
     """The pieces with sequence_id and offset, in few sequences of at most `capacity` tokens.
 
-    Pieces are dealt by a hash into shards of about `shard_pieces`; each shard is solved on `islands` islands, which after
-    each epoch send their elite to the next island, and the best packing of the shard stays. Pieces of full length fill a
-    sequence alone. Read twice: give a stored table. Equal rows are different pieces. No pieces give no rows.
+    Pieces are dealt by a hash of the row and its place into shards of about `shard_pieces`, so rows of one id are dealt, too.
+    Each shard is packed by best fit; where that misses the lower bound it is solved on `islands` islands, which after each
+    epoch send their elite to the next island, and the best packing of the shard stays. A shard that meets its bound is done.
+    Pieces of full length fill a sequence alone. Read twice: give a stored table. Equal rows are different pieces, and pieces
+    of equal length go by id. No pieces give no rows.
     """
     shards = max(1, -(-cut.count() // shard_pieces))
     tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
     table = cut.select(shard.alias("shard"), F.struct("length", "doc_id", "piece", "start", "ids_crc32").alias("item"))
     table = stored(table.groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items")), "pack-shards")
-    state = table.select("shard", F.col("items.length").alias("sizes"), F.lit(None).cast("array<array<int>>").alias("elite"),
-                         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    kinds = "shard long, sizes array<long>, island int, epoch int, found array<array<int>>, bins int, settled boolean"
 
+    def first(frames):
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples():
+                sizes = [int(s) for s in row.sizes if s < capacity]
+                bins = best_fit(sizes, capacity, [], list(range(len(sizes))))
+                rows.append((row.shard, row.sizes, 0, -1, [labels(bins, len(sizes))], len(bins), len(bins) <= lower_bound(sizes, capacity)))
+            yield pd.DataFrame(rows, columns=["shard", "sizes", "island", "epoch", "found", "bins", "settled"])
+
+    found = stored(table.select("shard", F.col("items.length").alias("sizes")).mapInPandas(first, kinds), "pack-first")
+    solved = found
+    state = found.where("not settled").select("shard", "sizes", F.col("found").alias("elite"),
+                                              F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     for epoch in range(epochs):
         def run(frames, epoch=epoch):
             for frame in frames:
                 rows = []
                 for row in frame.itertuples():
                     sizes = [int(s) for s in row.sizes if s < capacity]
-                    best = evolve(sizes, capacity, [from_labels([int(k) for k in e]) for e in ([] if row.elite is None else row.elite)],
-                                  (int(row.shard) * 31 + row.island) * 31 + epoch) if sizes else [[]]
+                    best = evolve(sizes, capacity, [from_labels([int(k) for k in e]) for e in row.elite],
+                                  (int(row.shard) * 31 + row.island) * 31 + epoch)
                     bound = lower_bound(sizes, capacity)
-                    rows.append((row.shard, row.sizes, row.island, [labels(b, len(sizes)) for b in best],
+                    rows.append((row.shard, row.sizes, row.island, epoch, [labels(b, len(sizes)) for b in best],
                                  len(best[0]), len(best[0]) <= bound))
-                yield pd.DataFrame(rows, columns=["shard", "sizes", "island", "found", "bins", "settled"])
+                yield pd.DataFrame(rows, columns=["shard", "sizes", "island", "epoch", "found", "bins", "settled"])
 
+        if state.isEmpty():
+            break
         # a set number of partitions: the rows are few and small, but each takes long
-        found = state.repartition(tasks, F.col("shard"), F.col("island")).mapInPandas(
-            run, "shard long, sizes array<long>, island int, found array<array<int>>, bins int, settled boolean")
-        found = stored(found, "pack-epoch")
+        found = stored(state.repartition(tasks, F.col("shard"), F.col("island")).mapInPandas(run, kinds), "pack-epoch")
+        solved = solved.union(found)
         # the elite of an island goes to itself and to the next one
         send = found.withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands)))))
-        state = send.groupBy("shard", "island").agg(F.first("sizes").alias("sizes"),
-                                                    F.flatten(F.collect_list("found")).alias("elite"))
-    best = found.groupBy("shard").agg(F.min_by(F.element_at("found", 1), F.struct("bins", "island")).alias("label"))
+        state = send.groupBy("shard", "island").agg(F.first("sizes").alias("sizes"), F.flatten(F.collect_list("found")).alias("elite"),
+                                                    F.max("settled").alias("settled")).where("not settled").drop("settled")
+    best = solved.groupBy("shard").agg(F.min_by(F.element_at("found", 1), F.struct("bins", "epoch", "island")).alias("label"))
 
     def place(frames):
         for frame in frames:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,6 +77,23 @@ def removed_strings(texts: list[str], length: int) -> list[tuple[int, int, str]]
     return out
 
 
+def test_vantage_ties_repeated_ids_and_other_columns(spark):
+    chance = np.random.RandomState(3)
+    rows = [(k, [1.0, 0.5, 0.25, 2.0] if k % 2 else chance.randn(4).tolist(), "n") for k in range(600)]
+    rows += [(None, [9.0] * 4, "n"), (7, [9.0, 9.0, 9.0, 9.0], "n"), (11, [0.1, 0.0, 0.0, 0.0], "n"), (601, None, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string")
+    found = vantage.nearest(table, F.col("vec_id") % 20 == 0, k=6, shard_rows=150).collect()
+    for query in range(0, 600, 20):
+        own = rows[query][1]
+        score = lambda v: ((own[0] * v[0] + own[1] * v[1]) + own[2] * v[2]) + own[3] * v[3]
+        best = sorted((-score(v), i) for i, v, _ in rows if i is not None and i != query and v)[:6]
+        mine = sorted((r["rank"], -r.score, r.vec_id) for r in found if r.query_id == query)
+        assert [(score, i) for _, score, i in mine] == best
+    small = spark.createDataFrame([(0, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [9.0, 0.0]), (6, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    listed = vantage.nearest(small, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in listed] == [(5, 9.0), (6, 2.0), (5, 1.0)]
+
+
 def test_suffix_sorting_by_brute_force(spark, documents):
     want = dict(zip(documents, removed_strings(list(documents.values()), 200)))
     for r in run(spark, "op2"):
@@ -312,6 +330,47 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, path, pattern()).count() == 0
 
 
+def test_pieces_equal_a_plain_encoder(spark, documents):
+    from tokenizers import Tokenizer
+
+    plain, rows = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), run(spark, "op10")
+    found, places = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        found[r.doc_id][r.piece] = (r.start, r.length, r.ids_crc32)
+        places[r.sequence_id].append((r.offset, r.length))
+    assert set(found) == set(documents)
+    for doc_id, text in documents.items():
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        expected, start = [], 0
+        while start < len(ids):
+            length = (len(ids) % 2048 or 2048) if not start else 2048
+            expected.append((start, length, zlib.crc32(ids[start:start + length].tobytes())))
+            start += length
+        assert [found[doc_id][k] for k in range(len(found[doc_id]))] == expected
+    for held in places.values():
+        held.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and held[0][0] == 0 and sum(held[-1]) <= 2048
+
+
+def test_pieces_of_one_id_are_dealt_to_all_shards(spark):
+    chance = np.random.RandomState(5)
+    rows = [(1, 0, 0, int(n), 7) for n in chance.randint(600, 1100, 900)] + [(None, 0, 0, 2048, 7)] * 5
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    packed = packing.pack(near.stored(cut, "cut"), shard_pieces=100).collect()
+    assert Counter((r.doc_id, r.length) for r in packed) == Counter((r[0], r[3]) for r in rows)
+    fills, shards = defaultdict(int), Counter(r.sequence_id >> 24 for r in packed)
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fills[r.sequence_id]
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 2048 and len(shards) == 10 and max(shards.values()) < 200
+
+
+def test_another_pattern_is_followed():
+    own = bpe.coder(vocabulary("byte_bpe_multi_50k.tiktoken"), r"[^\s]+|\s+")
+    assert own.split("don't stop") == ["don't", " ", "stop"]
+    assert bpe.coder(vocabulary("byte_bpe_multi_50k.tiktoken"), pattern()).split("don't stop") == ["don", "'t", " stop"]
+
+
 def test_genetic_packing_keeps_every_item():
     sizes = np.random.RandomState(5).randint(200, 1400, 300).tolist()
     best = packing.evolve(sizes, 2048, [], 7)[0]
