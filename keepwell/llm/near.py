@@ -18,6 +18,10 @@ SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 5
 SHORT, CELLS = 20, 1 << 18
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _WIDE = 50_000
+#: Words of a text that one step of an alignment covers, and turns in which texts of different classes meet centres only.
+PART, TURNS = 4096, 3
+#: 64-bit words of a text's parity bitmap.
+PARITY = [f"p{k}" for k in range(8)]
 
 
 def shingles(values: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -57,32 +61,52 @@ def sketch(found: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA) ->
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """Insertions, deletions and replacements that turn a into b, inside a band of `limit` diagonals; None beyond it."""
-    n, m = len(a), len(b)
-    if abs(n - m) > limit:
+    """Insertions, deletions and replacements that turn a into b, inside a band of `limit` diagonals; None beyond it.
+
+    The band is worked through in parts of b. Inside a part the rises and falls down a column are bits of two whole numbers,
+    so a step is a few operations on as many bits as the band is wide, and memory is that of one part's masks. Rows that the
+    band leaves count one more per step, which changes no path inside it.
+    """
+    if abs(len(a) - len(b)) > limit:
         return None
-    differences: dict[int, np.ndarray] = {}
-
-    def slide(i: int, k: int) -> int:
-        """Along diagonal k from row i to the first difference."""
-        if k not in differences:
-            low, high = max(0, -k), min(n, m - k)
-            differences[k] = np.append(np.flatnonzero(a[low:high] != b[low + k:high + k]) + low, high)
-        found = differences[k]
-        return int(found[np.searchsorted(found, i)]) if i < found[-1] else i
-
-    reached = {0: slide(0, 0)}
-    for d in range(limit + 1):
-        if reached.get(m - n, -1) >= n:
-            return d
-        following = {}
-        for k in range(max(-d - 1, -n, -limit), min(d + 1, m, limit) + 1):
-            i = max(reached.get(k, -2) + 1, reached.get(k - 1, -2), reached.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i >= max(0, -k):
-                following[k] = slide(i, k)
-        reached = following
-    return None
+    for turn in (1, -1):  # equal beginnings, equal ends
+        least = min(len(a), len(b))
+        differ = (a[::turn][:least] != b[::turn][:least])
+        equal = int(differ.argmax()) if differ.any() else least
+        a, b = (x[equal:] if turn > 0 else x[:len(x) - equal] for x in (a, b))
+    rows, columns = a.tolist(), b.tolist()
+    if not rows or not columns:
+        return max(len(rows), len(columns))
+    low = high = distance = up = down = 0
+    for start in range(0, len(columns), PART):
+        part = columns[start:start + PART]
+        top, bottom = max(0, start - limit), min(len(rows), start + len(part) + limit)
+        up = (up >> (top - low)) | (((1 << (bottom - high)) - 1) << (high - top))
+        down >>= top - low
+        distance += bottom - high
+        low, high = top, bottom
+        full, last = (1 << (high - low)) - 1, 1 << (high - low - 1)
+        held: dict[int, int] = dict.fromkeys(part, 0)
+        places: dict[int, list[int]] = {}
+        for place, word in enumerate(rows[low:high]):
+            if word in held:
+                places.setdefault(word, []).append(place)
+        for word, found in places.items():
+            bits = np.zeros(found[-1] + 1, np.uint8)
+            bits[found] = 1
+            held[word] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        for word in part:
+            equal = held[word]
+            level = (((equal & up) + up) ^ up) | equal
+            rise, fall = down | (full ^ ((level | up) & full)), up & level
+            if rise & last:
+                distance += 1
+            elif fall & last:
+                distance -= 1
+            rise, across = ((rise << 1) | 1) & full, equal | down
+            up = ((fall << 1) & full) | (full ^ ((across | rise) & full))
+            down = rise & across
+    return distance if distance <= limit else None
 
 
 def sorted_shingles(values: np.ndarray) -> np.ndarray:
@@ -193,47 +217,67 @@ def frequencies(sequences: DataFrame) -> np.ndarray:
     return out
 
 
-def alike(sequences: DataFrame, least: float) -> DataFrame:
-    """a, b: of the texts with key, component, shingles, all pairs of different components whose Jaccard may reach `least`.
-
-    Shingles are ordered from the rarest. Two texts that are `least` alike share one of their first shingles, and the first
-    one they share leaves room for as many as they must share behind it in both. So a shingle of a frequent passage only
-    pairs texts that consist of little else. Texts of a shingle's largest component meet the others, not each other; of
-    several shingles held by the same texts the rarest is enough.
-    """
+def prefixes(sequences: DataFrame, least: float) -> DataFrame:
+    """key, shingle, rank, place, length, p0 to p7: of the texts with key, shingles, the first shingles from the rarest, as many
+    as hold one of each text whose Jaccard reaches `least`; where it stands among the text's, and how many these are. The
+    parity bitmap has a bit for the shingles of each of 512 cells: is their number odd? Two bitmaps differ in no more bits than
+    the texts in shingles."""
     shared = sequences.sparkSession.sparkContext.broadcast(frequencies(sequences))
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            values, owner, place, size = [], [], [], []
+            values, owner, place, size, bits = [], [], [], [], []
             for row, x in enumerate(arrays(batch.column("shingles"))):
                 first = prefix(len(x), least)
+                odd = np.bincount((x >> 20) & (64 * len(PARITY) - 1), minlength=64 * len(PARITY)) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 values.append(x[np.lexsort((x, shared.value[x & (CELLS - 1)]))[:first]])
                 owner.append(np.full(first, row))
                 place.append(np.arange(first))
                 size.append(np.full(first, len(x)))
             at, value = pa.array(np.concatenate(owner)), np.concatenate(values)
             yield pa.record_batch([
-                batch.column("key").take(at), batch.column("component").take(at), pa.array(value), pa.array(shared.value[value & (CELLS - 1)]),
-                pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(size), pa.int32())],
-                ["key", "component", "shingle", "rank", "place", "length"])
+                batch.column("key").take(at), pa.array(value), pa.array(shared.value[value & (CELLS - 1)]),
+                pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(size), pa.int32()),
+                *(pa.array(p).take(at) for p in np.array(bits).T)], ["key", "shingle", "rank", "place", "length", *PARITY])
 
-    kinds = f"{KEY}, {KEY.replace('key', 'component', 1)}, shingle long, rank long, place int, length int"
-    first = stored(sequences.mapInArrow(run, kinds), "prefixes")
-    sizes = sequences.groupBy("component").agg(F.count("*").alias("n"))
+    kinds = f"{KEY}, shingle long, rank long, place int, length int, " + ", ".join(f"{p} long" for p in PARITY)
+    return sequences.select("key", "shingles").mapInArrow(run, kinds)
+
+
+def alike(first: DataFrame, classes: DataFrame, least: float, turn: int | None = None) -> DataFrame:
+    """a, b: of the texts of `prefixes`, all pairs of different components (of `classes`: key, component) whose Jaccard may
+    reach `least`; given a turn, only those with the centre of a shingle, the text with the smallest hash for that shingle and turn.
+
+    Two texts that are `least` alike share one of their first shingles, and the first one they share leaves room for as many
+    as they must share behind it in both. So a shingle of a frequent passage only pairs texts that consist of little else. Nor
+    do their bitmaps differ in more bits than they may in shingles. Texts of a shingle's largest component meet the others, not each other; of several shingles held by the same texts the
+    rarest is enough.
+    """
+    first = first.join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sizes = first.groupBy("component").agg(F.countDistinct("key").alias("n"))
+    own = ["key", "component", "place", "length", *PARITY]
+    text = F.struct(*(F.col(c).alias(f"other_{c}") for c in own))
+    centre = F.struct(F.xxhash64("key", "shingle", F.lit(turn or 0)).alias("hash"), text.alias("text"))
     held = first.join(sizes, "component").groupBy("shingle").agg(
         F.min("rank").alias("rank"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("key")).alias("mark"), F.max(F.struct("n", "component"))["component"].alias("major")).where("low <> high")
-    rarest = held.groupBy("n", "mark").agg(F.min(F.struct("rank", "shingle", "major")).alias("least")).select("least.shingle", "least.major")
-    first = stored(first.join(rarest, "shingle").drop("rank"), "prefixes")
-    one = first.where("component <> major").drop("major")
-    other = first.drop("major").toDF("shingle", "other", "other_component", "other_place", "other_length")
+        F.bit_xor(F.xxhash64("key")).alias("mark"), F.max(F.struct("n", "component"))["component"].alias("major"),
+        F.min(centre)["text"].alias("centre")).where("low <> high")
+    rarest = held.groupBy("n", "mark").agg(F.min(F.struct("rank", "shingle", "major", "centre")).alias("least")).select(
+        "least.shingle", "least.major", "least.centre")
+    first = first.drop("rank").join(rarest, "shingle")
+    if turn is None:
+        first = stored(first.drop("centre"), "prefixes")
+        first = first.where("component <> major").join(first.select("shingle", text.alias("centre")), "shingle")
+    first = first.select(*own, "centre.*")
+    both = F.col("length") + F.col("other_length")
     room = F.least(F.col("length") - F.col("place"), F.col("other_length") - F.col("other_place"))
-    enough = room + F.lit(1e-6) >= least / (1 + least) * (F.col("length") + F.col("other_length"))
-    met = one.join(other, "shingle").where((F.col("component") != F.col("other_component")) & enough)
-    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    enough = room + F.lit(1e-6) >= least / (1 + least) * both
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITY), F.lit(0))
+    met = first.where((F.col("component") != F.col("other_component")) & enough & (apart <= (1 - least) / (1 + least) * both + F.lit(1e-6)))
+    return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES,
@@ -244,7 +288,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     candidates. First each text of a bucket meets the bucket's centre, the text with the smallest hash in one of five orders,
     and the links found make classes. Then the texts of all buckets that still hold different classes meet every text of
     another class that can be similar by its shingles (`alike`), so no link between classes is missed. A bucket of
-    copies costs one pair each, not all pairs. Texts whose numbers of shingles alone rule the similarity out don't meet. Empty
+    copies costs one pair each, not all pairs, and the last step is taken once turns of new centres have made the classes
+    few. Texts whose numbers of shingles alone rule the similarity out don't meet. Empty
     and null texts are equal; texts of fewer words than a shingle have one shingle. Reads `docs` twice.
     """
     table = stored(sketch_table(docs, sketches, minima, least), "sketches")
@@ -270,11 +315,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = stored(members.join(mixed.select("bucket"), "bucket", "left_semi").select("key", "component").distinct(), "mixed")
     if not left.isEmpty():
-        chosen = stored(sequences.select("key", "shingles").join(left, "key"), "chosen")
-        pairs = stored(alike(chosen, least).join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = stored(verified(pairs, sequences, least), "verified").select("a", "b")
-        if not good.isEmpty():  # earlier links are known by their classes
-            classes = components(good.union(classes.where("key <> component").select("key", "component")))
+        first = stored(prefixes(stored(sequences.join(left.select("key"), "key", "left_semi"), "chosen"), least), "prefixes")
+        for turn in [*range(TURNS), None]:
+            pairs = stored(alike(first, classes, least, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+            good = stored(verified(pairs, sequences, least), "verified").select("a", "b")
+            if not good.isEmpty():  # earlier links are known by their classes
+                classes = components(good.union(classes.where("key <> component").select("key", "component")))
+            tested = tested.union(pairs)
     named = texts.select("digest", F.col("key").alias("text_key"))
     out = table.select("key", "digest").join(named, "digest")
     return out.join(classes.withColumnRenamed("key", "text_key"), "text_key", "left").select("key", F.coalesce("component", "text_key").alias("class_key"))
