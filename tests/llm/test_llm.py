@@ -248,6 +248,39 @@ def test_banded_alignment():
         assert near.edit_distance(a, b, int(table[-1, -1]) - 1) is None
 
 
+@pytest.mark.parametrize("part", [1, 7, 4096])
+def test_alignment_in_parts_by_brute_force(monkeypatch, part):
+    monkeypatch.setattr(near, "PART", part)
+    chance = np.random.RandomState(part)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            before, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, before + (x != y))
+        return row[-1]
+
+    for turn in range(300):
+        a = chance.randint(0, chance.randint(2, 30), chance.randint(0, 30))
+        b = np.delete(a, chance.randint(0, len(a), 3)) if turn % 2 and len(a) else chance.randint(0, 5, chance.randint(0, 30))
+        limit, distance = chance.randint(0, 32), plain(a.tolist(), b.tolist())
+        assert near.edit_distance(a, b, limit) == (distance if distance <= limit else None)
+
+
+def test_shingle_join_misses_no_similar_pair(spark):
+    chance = np.random.RandomState(2)
+    base = chance.randint(-2**62, 2**62, 120)
+    sets = [np.unique(np.where(chance.rand(120) < share, chance.randint(-2**62, 2**62, 120), base))
+            for share in chance.choice([0.02, 0.08, 0.12, 0.3], 60)] + [base[:5], base[:6], base[:0]]
+    rows = [((k, 0), np.sort(x).tolist()) for k, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "key struct<doc_id: long, version: long>, shingles array<long>").where(F.size("shingles") > 0)
+    none = table.where("false").select("key", F.col("key").alias("component"))
+    found = {(r.a.doc_id, r.b.doc_id) for r in near.alike(near.prefixes(table, 0.8), none, 0.8).collect()}
+    like = {(i, k) for k in range(len(sets)) for i in range(k) if near.jaccard(np.sort(sets[i]), np.sort(sets[k]), 0.8) >= 0.8}
+    assert like and like <= found and len(found) < len(sets) ** 2 / 4
+
+
 def test_tokens_equal_those_of_the_rank_library(documents):
     import tiktoken
 
