@@ -330,3 +330,17 @@ def test_renewal_scores_every_customer(spark):
     for missing in (60, 61):
         assert found[missing].renewal_probability is None and found[missing].risk_level is None
         assert found[missing].recommendation is None
+
+
+def test_big_tables_are_dealt_out_and_small_ones_left(spark, monkeypatch):
+    """Tasks of training grow in number with the table, whatever the files are; no row is lost or repeated."""
+    rows = spark.createDataFrame([(f"c{i % 90}", "Yes" if i % 3 else "No", float(i)) for i in range(100)],
+                                 "customerID string, Churn string, tenure double").coalesce(1)
+    settings = training.quick_settings(numeric=("tenure",), categorical=())
+    small = training.prepare(rows, settings)
+    assert small.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(training, "TASK_ROWS", 10)
+    big = training.prepare(rows, settings)
+    assert big.rdd.getNumPartitions() == 10
+    assert max(big.rdd.glom().map(len).collect()) <= 11
+    assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
