@@ -344,3 +344,36 @@ def test_big_tables_are_dealt_out_and_small_ones_left(spark, monkeypatch):
     assert big.rdd.getNumPartitions() == 10
     assert max(big.rdd.glom().map(len).collect()) <= 11
     assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_fits_side_by_side_hold_a_bounded_number_of_rows():
+    settings = training.quick_settings()
+    assert training.side_by_side(settings, 1000) == (3, 3)
+    for rows in (0, 800_000, 3_000_000, 5_000_000, 36_000_000):
+        folds, fits = training.side_by_side(settings, rows)
+        assert folds >= 1 and fits >= 1
+        assert folds * fits == 1 or folds * fits * rows <= training.ROWS_AT_ONCE
+
+
+def test_champion_keeps_the_fits_of_its_search(spark, accounts, monkeypatch):
+    """The winner's folds are not fitted twice, and come out as if they were."""
+    fits, whole = [], training.boosting
+
+    def counted(*args, **kwargs):
+        made = whole(*args, **kwargs)
+        fit = made.fit
+        made.fit = lambda *a, **k: fits.append(1) or fit(*a, **k)
+        return made
+
+    monkeypatch.setattr(training, "boosting", counted)
+    found = {}
+    for limit in (training.KEPT_NODES, 0):
+        monkeypatch.setattr(training, "KEPT_NODES", limit)
+        fits.clear()
+        champion, oof, _ = training.train_champion(
+            accounts, SETTINGS, new_path(spark, "champion"), [BOOSTING], {BOOSTING: SPACE})
+        found[limit] = (len(fits), champion.threshold, sorted(map(tuple, oof.select(
+            "fold", "customerID", "probability").collect())))
+    kept, again = found.values()
+    assert (kept[0], again[0]) == (SETTINGS.folds + 1, 2 * SETTINGS.folds + 1)
+    assert kept[1:] == again[1:]
