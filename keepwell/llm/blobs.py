@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DECISIONS = "doc_id long, version long, starts array<int>, ends array<int>"
+from keepwell.llm.common import BASE, mix
+
+DECISIONS = "part long, blob binary"
 PART_BYTES = 24_000_000
+_SPANS = ["<i8", "?", "<i8", "<i4", "<i4", "<i4"]
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -57,32 +60,74 @@ def by_part(rows: DataFrame, parts: np.ndarray, solve, schema: str) -> DataFrame
     return rows.repartition(len(parts), "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def spans_by_document(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray,
-                      versions: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """DECISIONS rows: for each document (its place in ids and versions) the union of its spans."""
-    if not len(rank):
-        return
+def blobs_of(part: np.ndarray, make) -> Iterator[pa.RecordBatch]:
+    """One (part, blob) row for the rows of each part."""
+    by = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[by]) != 0, [True])))
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        yield pa.record_batch([pa.array([int(part[by[s]])], pa.int64()), pa.array([pack(make(by[s:e]))], pa.binary())], ["part", "blob"])
+
+
+def united(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of the spans of each document, by document and start."""
     by = np.lexsort((starts, rank))
-    rank, starts, ends = rank[by], starts[by].astype(np.int64), ends[by].astype(np.int64)
+    rank, starts, ends = rank[by].astype(np.int64), starts[by].astype(np.int64), ends[by].astype(np.int64)
     # ends never fall along a document once running maxima are taken; documents are set far apart
     far = np.int64(1) << 40
     reach = np.maximum.accumulate(ends + rank * far)
-    first = np.concatenate(([True], starts[1:] + rank[1:] * far > reach[:-1]))
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(np.concatenate(([True], starts[1:] + rank[1:] * far > reach[:-1])))
     last = np.concatenate((at[1:] - 1, [len(rank) - 1]))
-    rank, starts, ends = rank[at], starts[at], reach[last] - rank[last] * far
+    return rank[at], starts[at], reach[last] - rank[last] * far
+
+
+def spans_by_document(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, nulls: np.ndarray,
+                      versions: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """DECISIONS rows: spans of documents (places in ids, nulls and versions), one row for all documents of a part.
+
+    Spans of a document are decided in many parts, the more the more parts there are, so a row for each document and part
+    would be many times the documents.
+    """
+    if not len(rank):
+        return
+    rank, starts, ends = united(rank, starts, ends)
+    part = parts[mix(ids.astype(np.uint64) * BASE + versions.astype(np.uint64)) % np.uint64(len(parts))]
+
+    def make(rows):
+        used, local = np.unique(rank[rows], return_inverse=True)
+        return [ids[used], nulls[used], versions[used], local.astype(np.int32), starts[rows].astype(np.int32), ends[rows].astype(np.int32)]
+
+    yield from blobs_of(part[rank], make)
+
+
+def merged_documents(tables: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (id, version, null flag) of all tables once, and for each entry of each table its place among them."""
+    ids, versions, nulls = (np.concatenate([t[k] for t in tables]) for k in range(3))
+    by = np.lexsort((nulls, versions, ids))
+    i, v, z = ids[by], versions[by], nulls[by]
+    new = np.concatenate(([True], (i[1:] != i[:-1]) | (v[1:] != v[:-1]) | (z[1:] != z[:-1])))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return i[new], v[new], z[new], rank
+
+
+def merged_spans(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """doc_id, version, starts, ends: one row for each document of a part, with the union of its spans."""
+    tables = [unpack(b, _SPANS) for b in blobs]
+    ids, versions, nulls, place = merged_documents([[t[0], t[2], t[1]] for t in tables])
+    base = np.cumsum([0, *(len(t[0]) for t in tables)])[:-1]
+    rank, starts, ends = united(*(np.concatenate(x) for x in zip(*(
+        (place[t[3] + b], t[4], t[5]) for t, b in zip(tables, base, strict=True)), strict=True)))
     new = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
-    offsets = pa.array(np.append(new, len(rank)).astype(np.int32))
+    offsets, docs = pa.array(np.append(new, len(rank)).astype(np.int32)), rank[new]
     yield pa.RecordBatch.from_arrays([
-        pa.array(ids[rank[new]]), pa.array(versions[rank[new]]),
+        pa.array(ids[docs], mask=nulls[docs]), pa.array(versions[docs]),
         pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))),
         pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))], ["doc_id", "version", "starts", "ends"])
 
 
-def with_spans(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """doc_id, text, starts, ends: every row with all spans decided for it, which may overlap."""
-    merged = decisions.groupBy("doc_id", "version").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+def with_spans(docs: DataFrame, decisions: DataFrame, parts: np.ndarray) -> DataFrame:
+    """doc_id, text, starts, ends: every row with the union of all spans decided for it."""
+    merged = by_part(decisions, parts, merged_spans, "doc_id long, version long, starts array<int>, ends array<int>")
     rows = identified(docs).alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
                                             & (F.col("d.version") == F.col("m.version")), "left")
     return rows.select("d.doc_id", "text", "starts", "ends")

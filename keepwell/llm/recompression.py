@@ -198,7 +198,7 @@ def anchored(docs: DataFrame, parts: np.ndarray, window: int = WINDOW) -> DataFr
     return identified(docs).mapInArrow(run, "part long, blob binary")
 
 
-def later_windows(blobs: list[bytes], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+def later_windows(blobs: list[bytes], parts: np.ndarray, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """The spans covered by windows that also start earlier, among the windows of a part."""
     tables = [unpack(b, _KINDS) for b in blobs]
     sizes = np.array([len(t[0]) for t in tables])
@@ -233,26 +233,12 @@ def later_windows(blobs: list[bytes], window: int = WINDOW) -> Iterator[pa.Recor
     spans = [(owner[again], place[again], place[again] + window)]
     spans += [(rank_of[t[9] + b], t[10].astype(np.int64), t[11].astype(np.int64)) for t, b in zip(tables, base, strict=True)]
     owner, place, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-    yield from with_nulls(spans_by_document(owner, place, end, ids, versions), ids, nulls, versions)
+    yield from spans_by_document(owner, place, end, ids, nulls, versions, parts)
 
 
-def with_nulls(found: Iterator[pa.RecordBatch], ids: np.ndarray, nulls: np.ndarray, versions: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows with null ids put back (they travel as 0 beside a flag)."""
-    hidden = {(0, int(v)) for v in versions[nulls]}
-    shown = {(0, int(v)) for i, v in zip(ids[~nulls], versions[~nulls], strict=True) if i == 0} if hidden else set()
-    for batch in found:
-        if hidden:
-            names, extra = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), []
-            for x in names:
-                extra.append(None if x in hidden and x not in shown else x[0])
-            batch = pa.RecordBatch.from_arrays([pa.array(extra, pa.int64()), *batch.columns[1:]], batch.schema.names)
-        yield batch
-
-
-def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, version, starts, ends: words (by place) covered by a window that also starts earlier in the corpus."""
-    parts = parts_for(docs)
-    return by_part(anchored(docs, parts, window), parts, lambda blobs: later_windows(blobs, window), DECISIONS)
+def repeated_passages(docs: DataFrame, parts: np.ndarray, window: int = WINDOW) -> DataFrame:
+    """DECISIONS: words (by place) covered by a window that also starts earlier in the corpus."""
+    return by_part(anchored(docs, parts, window), parts, lambda blobs: later_windows(blobs, parts, window), DECISIONS)
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,7 +248,8 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     or an earlier place in the document. Rows equal in id and text are one document. Other columns are ignored. Reads
     `docs` twice.
     """
-    joined = with_spans(docs, repeated_passages(docs, window))
+    parts = parts_for(docs)
+    joined = with_spans(docs, repeated_passages(docs, parts, window), parts)
 
     def run(batches):
         for block in text_blocks(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.blobs import DECISIONS, by_part, identified, pack, parts_for, spans_by_document, unpack, with_spans
+from keepwell.llm.blobs import DECISIONS, blobs_of, by_part, identified, merged_documents, parts_for, spans_by_document, unpack, with_spans
 from keepwell.llm.common import as_signed, flat, mix, stored, text_blocks
 from keepwell.llm.recompression import Spelling
 
@@ -59,14 +59,6 @@ def anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return names[anchor], mix(content + (anchor - begin).astype(np.uint64)), text[begin], begin - offsets[:-1][text[begin]], count
 
 
-def blobs_of(part: np.ndarray, make) -> Iterator[pa.RecordBatch]:
-    """One (part, blob) row for the rows of each part."""
-    by = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[by]) != 0, [True])))
-    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-        yield pa.record_batch([pa.array([int(part[by[s]])], pa.int64()), pa.array([pack(make(by[s:e]))], pa.binary())], ["part", "blob"])
-
-
 def ids_of(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = block.column("doc_id")
     return column.fill_null(0).to_numpy(), block.column("version").to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
@@ -89,17 +81,6 @@ def references(docs: DataFrame, parts: np.ndarray, length: int, gram: int) -> Da
     return identified(docs).mapInArrow(run, "part long, blob binary")
 
 
-def merged_documents(tables: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of all tables once, and for each entry of each table its place among them."""
-    ids, versions, nulls = (np.concatenate([t[k] for t in tables]) for k in range(3))
-    by = np.lexsort((nulls, versions, ids))
-    i, v, z = ids[by], versions[by], nulls[by]
-    new = np.concatenate(([True], (i[1:] != i[:-1]) | (v[1:] != v[:-1]) | (z[1:] != z[:-1])))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(new) - 1
-    return i[new], v[new], z[new], rank
-
-
 def restore_nulls(batch: pa.RecordBatch, ids, versions, nulls) -> pa.RecordBatch:
     """Null ids travel as 0 beside a flag."""
     if not nulls.any():
@@ -109,9 +90,9 @@ def restore_nulls(batch: pa.RecordBatch, ids, versions, nulls) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(real, pa.int64()), *batch.columns[1:]], batch.schema.names)
 
 
-def sort_out(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
-    """Of a part's anchors: spans that repeat in the same surroundings (decided), and one fragment for each of several
-    different surroundings of an anchor (to be suffix-sorted): doc_id, version, starts, ends, keys (null if decided)."""
+def sort_out(blobs: list[bytes], length: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of a part's anchors: spans that repeat in the same surroundings (decided: part, blob), and one fragment for each of
+    several different surroundings of an anchor (to be suffix-sorted: doc_id, version, starts, ends, keys)."""
     tables = [unpack(b, _REFERENCES) for b in blobs]
     ids, versions, nulls, rank = merged_documents(tables)
     base = np.cumsum([0, *(len(t[0]) for t in tables)])[:-1]
@@ -124,13 +105,14 @@ def sort_out(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(first_key) - 1
     variants = np.bincount(group[first], minlength=group[-1] + 1)[group]
     copies = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
-    names = ["doc_id", "version", "starts", "ends", "keys"]
+    asked_for = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", ints := pa.list_(pa.int32())), ("ends", ints),
+                           ("keys", pa.list_(pa.int64()))])
     span = begin[by].astype(np.int64)
     until = span + count[by] - 1 + length
     repeated = copies > 1
-    for batch in spans_by_document(doc[by][repeated], span[repeated], until[repeated], ids, versions):
-        batch = restore_nulls(batch, ids, versions, nulls)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.list_(pa.int64()))], names)
+    for batch in spans_by_document(doc[by][repeated], span[repeated], until[repeated], ids, nulls, versions, parts):
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(len(batch), f.type) for f in asked_for)],
+                                         ["part", "blob", *asked_for.names])
     asked = np.flatnonzero(first & (variants > 1))
     if len(asked):
         asked = asked[np.lexsort((span[asked], doc[by][asked]))]
@@ -139,8 +121,10 @@ def sort_out(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
         cuts = pa.array(np.append(new, len(owner)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (
             span[asked].astype(np.int32), until[asked].astype(np.int32), as_signed(k[asked]))]
-        batch = pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(versions[owner[new]]), *lists], names)
-        yield restore_nulls(batch, ids, versions, nulls)
+        batch = pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(versions[owner[new]]), *lists], asked_for.names)
+        batch = restore_nulls(batch, ids, versions, nulls)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.binary()), *batch.columns],
+                                         ["part", "blob", *asked_for.names])
 
 
 def fragments(docs: DataFrame, asked: DataFrame, parts: np.ndarray) -> DataFrame:
@@ -239,7 +223,7 @@ def repeated_starts(order: np.ndarray, chunks: np.ndarray, length: int) -> np.nd
     return np.union1d(one, other)
 
 
-def suffix_sort(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+def suffix_sort(blobs: list[bytes], length: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The repeated spans among the fragments of a part."""
     tables = [unpack(b, _FRAGMENTS) for b in blobs]
     ids, versions, nulls, rank = merged_documents(tables)
@@ -258,18 +242,16 @@ def suffix_sort(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
         chunks = (chunks << np.uint64(8)) | padded[k:k + len(chunks)]
     found = repeated_starts(suffix_order(data, chunks, owned, length), chunks, length)
     place = start[fragment[found]] + inside[found]
-    for batch in spans_by_document(doc[fragment[found]], place, place + length, ids, versions):
-        yield restore_nulls(batch, ids, versions, nulls)
+    yield from spans_by_document(doc[fragment[found]], place, place + length, ids, nulls, versions, parts)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, version, starts, ends: bytes covered by a string of `length` bytes that also starts elsewhere."""
-    parts = parts_for(docs)
-    found = stored(by_part(references(docs, parts, length, gram), parts, lambda blobs: sort_out(blobs, length),
-                           f"{DECISIONS}, keys array<long>"), "anchors")
-    asked = found.where("keys is not null")
-    sorted_out = by_part(fragments(docs, asked, parts), parts, lambda blobs: suffix_sort(blobs, length), DECISIONS)
-    return found.where("keys is null").drop("keys").unionByName(sorted_out)
+def repeated_strings(docs: DataFrame, parts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """DECISIONS: bytes covered by a string of `length` bytes that also starts elsewhere."""
+    found = stored(by_part(references(docs, parts, length, gram), parts, lambda blobs: sort_out(blobs, length, parts),
+                           f"{DECISIONS}, doc_id long, version long, starts array<int>, ends array<int>, keys array<long>"), "anchors")
+    asked = found.where("keys is not null").drop("part", "blob")
+    sorted_out = by_part(fragments(docs, asked, parts), parts, lambda blobs: suffix_sort(blobs, length, parts), DECISIONS)
+    return found.where("keys is null").select("part", "blob").unionByName(sorted_out)
 
 
 def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -278,7 +260,8 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     Texts are UTF-8 bytes; null and empty ones have none, and texts shorter than `length` repeat nothing. Rows equal in id and
     text are copies of each other. Other columns are ignored. Reads `docs` three times.
     """
-    joined = with_spans(docs, repeated_strings(docs, length, gram))
+    parts = parts_for(docs)
+    joined = with_spans(docs, repeated_strings(docs, parts, length, gram), parts)
 
     def run(batches):
         for block in text_blocks(batches):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, imatch, language, lines, near, packing, pii, recompression, suffixes, vantage
+from keepwell.llm import blobs, bpe, imatch, language, lines, near, packing, pii, recompression, suffixes, vantage
 from keepwell.llm.common import read_table
 from keepwell.llm.queries import QUERIES, pattern, vocabulary
 
@@ -129,6 +129,25 @@ def test_recompression_of_odd_texts(odd, empty):
     assert recompression.dedup_passages(empty).count() == 0
 
 
+def test_decided_spans_travel_in_a_row_for_all_documents_of_a_part(spark):
+    chance = np.random.RandomState(5)
+    shared = [" ".join(map(str, chance.randint(0, 10**6, 60))) for _ in range(20)]
+    texts = [f"own{k} " + " ".join(shared[j] for j in chance.permutation(20)[:10]) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    parts = blobs.parts_for(docs)
+    for decided in (recompression.repeated_passages(docs, parts), suffixes.repeated_strings(docs, parts)):
+        # a row for each document and part would be about 300 x 8; op2 has two steps that decide
+        assert 0 < decided.count() <= 2 * len(parts) ** 2 < 300
+        spans = blobs.with_spans(docs, decided, parts).collect()
+        assert len(spans) == 300 and all(e < s for r in spans for e, s in zip(r.ends or [], (r.starts or [])[1:]))
+
+
+def test_null_ids_are_not_taken_for_zero(spark):
+    text = f"{PASSAGE} between {PASSAGE}"
+    docs = spark.createDataFrame([(None, text), (0, text)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in recompression.dedup_passages(docs).collect()} == {None: 60, 0: 121}
+
+
 def test_line_dedup(spark, odd, empty):
     text = "one two three four five\nsix seven eight nine\n\nten eleven twelve"
     docs = spark.createDataFrame([(1, text), (2, f"new line of the second document\n{text}"), (3, None), (4, "")],
