@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from keepwell.domain import BOOSTING, BOOSTING_SPACE, FOREST, LOGISTIC, LOGISTIC_SPACE, TIER_ORDER
 from keepwell.operators.cleaning import typed_accounts
 from keepwell.operators.evaluation import roc_auc
-from keepwell.plans import explaining, preprocessing, scoring, training, views
+from keepwell.plans import explaining, forests, preprocessing, scoring, training, views
 from keepwell.session import new_path
 from keepwell.sources.champion import load_champion
 from keepwell.streaming.ingest import stream_scores
@@ -377,3 +377,39 @@ def test_champion_keeps_the_fits_of_its_search(spark, accounts, monkeypatch):
     kept, again = found.values()
     assert (kept[0], again[0]) == (SETTINGS.folds + 1, 2 * SETTINGS.folds + 1)
     assert kept[1:] == again[1:]
+
+
+def test_deep_forest_is_sparks_tree(spark, monkeypatch):
+    """Without draws both must be the same, whether nodes are split by all tasks or below one."""
+    rows = [(float((k * 7919 % 101 < 50) != (k % 13 == 4)), 1.0 + k % 2, [k % 2 * 1.0, k * 31 % 29 / 2, k * 17 % 23 * 1.0, 5.0, k * 7 % 3 * 1.0])
+            for k in range(3000)]
+    table = spark.createDataFrame(rows, "label double, weight double, x array<double>").select("label", "weight", array_to_vector("x").alias("features"))
+    for leaf in (1, 6):
+        wanted = training.forest(1, None, leaf, None).setBootstrap(False)
+        theirs = wanted.fit(table)
+        for limit in (10**6, 400):
+            monkeypatch.setattr(forests, "LOCAL_ROWS", limit)
+            mine = forests.DeepForest(wanted).fit(table)
+            assert mine.totalNumNodes == theirs.totalNumNodes > 100 and mine.getMaxDepth() == 30
+            assert np.array([r.probability.toArray() for r in mine.transform(table).collect()]) == pytest.approx(np.array([r.probability.toArray() for r in theirs.transform(table).collect()]))
+            assert mine.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray())
+
+
+def test_deep_forests_on_many_rows_are_not_fitted_level_by_level(spark, monkeypatch):
+    drawn = {"n_estimators": 5, "max_depth": None, "min_samples_leaf": 1, "max_features": "sqrt"}
+    settings = training.quick_settings()
+    assert isinstance(training.tuned(FOREST, drawn, settings, 10**6), forests.DeepForest)
+    assert not isinstance(training.tuned(FOREST, drawn | {"max_depth": 5}, settings, 10**6), forests.DeepForest)
+    full = training.candidates(training.TrainingSettings(), 10**6)[FOREST]
+    assert isinstance(full, forests.DeepForest) and full.like.getNumTrees() == 300
+    chance = np.random.RandomState(2)
+    x = chance.randn(4000, 6)
+    rows = [(float(v[0] + v[1] * v[2] > chance.randn() / 2), 1.0, v.tolist()) for v in x]
+    table = spark.createDataFrame(rows, "label double, weight double, x array<double>").select("label", "weight", array_to_vector("x").alias("features"))
+    monkeypatch.setattr(forests, "LOCAL_ROWS", 700)
+    forest = training.forest(12, None)
+    areas = [roc_auc(training._probability(m, table).select("label", "probability")).first()["roc_auc"]
+             for m in (forests.DeepForest(forest).fit(table), forest.fit(table))]
+    assert areas == pytest.approx([1, 1], abs=0.01)
+    again = [forests.DeepForest(forest).fit(table).toDebugString for _ in range(2)]
+    assert again[0].split("\n")[1:] == again[1].split("\n")[1:]
