@@ -413,3 +413,15 @@ def test_deep_forests_on_many_rows_are_not_fitted_level_by_level(spark, monkeypa
     assert areas == pytest.approx([1, 1], abs=0.01)
     again = [forests.DeepForest(forest).fit(table).toDebugString for _ in range(2)]
     assert again[0].split("\n")[1:] == again[1].split("\n")[1:]
+
+
+def test_champion_reads_the_deep_forests_of_its_search(spark, accounts, monkeypatch):
+    fitted, fit = [], forests.DeepForest.fit
+    monkeypatch.setattr(training, "DEEP_ROWS", 100)
+    monkeypatch.setattr(training, "KEPT_NODES", 0)
+    monkeypatch.setattr(forests.DeepForest, "fit", lambda self, train: fitted.append(1) or fit(self, train))
+    space = {"n_estimators": [3], "max_depth": [None], "min_samples_leaf": [1], "max_features": [None]}
+    champion, oof, _ = training.train_champion(accounts, SETTINGS, new_path(spark, "deep"), [FOREST], {FOREST: space})
+    assert len(fitted) == SETTINGS.folds + 1  # and not two a fold
+    assert oof.count() == training.training_rows(training.prepare(accounts, SETTINGS)).count()
+    assert champion.cv_roc_auc == pytest.approx(sum(r["roc_auc"] for r in roc_auc(oof, ("fold",)).collect()) / SETTINGS.folds)
