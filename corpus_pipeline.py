@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keepwell.llm import language, lines, near, packing, pii
-from keepwell.llm.common import read_table, stored
+from keepwell.llm.common import read_table, small_batches, stored
 from keepwell.llm.queries import pattern, vocabulary
 
 ORACLE_SQL = None
@@ -13,27 +13,28 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Centroids are learned from the labelled rows of the input itself."""
+    docs = small_batches(docs)
     return language.keep_known(docs, language.fit(docs))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds; those of which nothing is left go."""
-    return lines.dedup_documents(docs)
+    return lines.dedup_documents(small_batches(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
-    return near.dedup_documents(docs)
+    return near.dedup_documents(small_batches(docs))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked."""
-    return pii.mask_documents(docs)
+    return pii.mask_documents(small_batches(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in a sequence."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), pattern())
+    return packing.pack_documents(small_batches(docs), vocabulary("byte_bpe_50k.json"), pattern())
 
 
 STAGES = [

@@ -20,10 +20,16 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows. From now on the session hands them to Python in small Arrow batches, as texts may be long: a task holds
+    each batch several times, in the JVM's buffers and in Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Arrow batches are kept small, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder, in small Arrow batches."""
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text",
+def text_blocks(batches: Iterable[pa.RecordBatch], column: str | int = "text",
                 limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts stay under `limit` bytes together; a longer text is alone in its slice."""
     for batch in batches:

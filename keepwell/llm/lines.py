@@ -238,14 +238,15 @@ def dedup_documents(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     """The rows with repeated lines deleted and the same columns. A document of which nothing but blanks is left is dropped;
     one that loses nothing stays, whatever it holds."""
     schema, names = docs.schema, docs.columns
-    rows = with_key(docs.select(F.struct(*names).alias("row"), "doc_id", "text"))
-    joined = rows.select("row", "text", "key").join(deletions(docs, least_words), "key", "left").select("row", "text", "removed")
+    rows = with_key(docs.select(F.struct(*names).alias("row"), "doc_id", "text")).select("row", "key")  # the text travels once
+    joined = rows.join(deletions(docs, least_words), "key", "left").select("row", "removed")
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for block in text_blocks(batches):
-            columns = block.column("row").flatten()
-            texts, gone = block.column("text").to_pylist(), block.column("removed").to_pylist()
+        wide = (pa.RecordBatch.from_arrays([*b.column("row").flatten(), b.column("removed")], [*names, "removed"]) for b in batches)
+        for block in text_blocks(wide, at):
+            *columns, removed = block.columns
+            texts, gone = columns[at].to_pylist(), removed.to_pylist()
             kept = [without(t, g)[0] for t, g in zip(texts, gone, strict=True)]
             columns[at] = pa.array(kept, pa.string())
             if size is not None:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,30 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "personal_data", "packing"]
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_small_batches_from_any_frame(spark, stage):
+    """A stage bounds what a task holds at once, also of rows that `read_table` did not read."""
+    import corpus_pipeline
+
+    def lengths(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([len(batch)])], ["n"])
+
+    docs = spark.createDataFrame([(k, f"Some plain words of text {k}", "en", "s", 0) for k in range(40)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert spark.range(0, 5000, 1, 1).mapInArrow(lengths, "n long").agg(F.max("n")).first()[0] <= 1000
+
+
+def test_line_dedup_carries_each_text_once(odd):
+    """The rows that meet their deletions hold the text in `row` and nowhere else."""
+    plan = lines.dedup_documents(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow run\((.*?)\)", plan)[1].replace(" ", "").count("#") == 2
+    kept = lines.dedup_documents(odd.withColumn("removed", F.lit("x"))).collect()
+    assert all(r.removed == "x" for r in kept) and len(kept) == lines.dedup_documents(odd).count()
+
+
 @pytest.mark.parametrize("few", [0, 50_000])
 def test_components_by_union_find(spark, few):
     """A chain, a star with a null id and random links, by rounds alone and with the finish in one task."""
