@@ -3,9 +3,11 @@
 import pickle
 from itertools import combinations
 from math import factorial, prod
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -298,6 +300,50 @@ def test_explanations_equal_brute_force_and_add_up(spark, accounts, kind):
         assert explaining.base_value(trees) + sum(mine) == pytest.approx(row["total"], abs=1e-9)
 
 
+@pytest.mark.parametrize("splits", [0, 1, 3, 12])
+def test_rows_of_a_class_share_a_subtree(monkeypatch, splits):
+    """Each class of rows meets each small subtree once, with the values each row gets alone."""
+    rng = np.random.default_rng(splits)
+    trees = [explaining.arranged(_random_tree(rng, depth, 6), 0.7, True) for depth in (0, 1, 4, 7, 7)]
+    x = rng.normal(size=(4000, 6)).round(1)
+    met, distinct = [], explaining._distinct
+
+    def counting(keys, limit):
+        met.append(len(distinct(keys, limit)[0]))
+        return distinct(keys, limit)
+
+    monkeypatch.setattr(explaining, "_distinct", counting)
+    monkeypatch.setattr(explaining, "SUBTREE", splits)
+    phi = explaining.contributions(trees, x)
+    assert sum(met) < len(x) * sum(len(t["parent"]) for t in trees) / 5
+    for row, mine in list(zip(x, phi))[:5]:
+        assert np.allclose(mine, explaining.contributions(trees, row[None])[0], atol=1e-12)
+        assert np.allclose(mine, _brute_force(trees, row, 6), atol=1e-12)
+
+
+def test_blocks_of_batches_are_explained_in_order(spark, monkeypatch):
+    """Blocks of several Arrow batches give each row its own values, and sums of earlier trees are kept."""
+    rng = np.random.default_rng(1)
+    trees = [explaining.arranged(_random_tree(rng, 5, 4), 1.0, True)]
+    x = rng.normal(size=(50, 4))
+    kind = pa.list_(pa.float64())
+    parts = [pa.record_batch([pa.array(x[s:s + 7].tolist(), kind), pa.array((10 * x[s:s + 7]).tolist(), kind)], ["x", "phi"])
+             for s in range(0, 50, 7)]
+    monkeypatch.setattr(explaining, "CELLS", 60)
+    out = list(explaining._adding(SimpleNamespace(value=trees))(iter([*parts[:2], parts[0][:0], *parts[2:]])))
+    assert [len(p) for p in out] == [len(p) for p in parts]
+    found = np.array([row for p in out for row in p.column("phi").to_pylist()])
+    assert np.allclose(found, explaining.contributions(trees, x) + 10 * x, atol=1e-12)
+
+
+def test_accounts_are_dealt_to_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000 * cores, numPartitions=1)
+    assert explaining.dealt(rows, 45).rdd.getNumPartitions() == cores
+    assert explaining.dealt(rows.limit(5), 45).rdd.getNumPartitions() == 1
+    assert explaining.dealt(rows, explaining.CELLS // 250).rdd.getNumPartitions() == 4 * cores
+
+
 def test_deep_paths_of_many_features():
     """A path of 30 different features: values add up, and equal features get equal values."""
     rows, cover = [], 1.0
