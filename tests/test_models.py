@@ -13,10 +13,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from catalog import learn
 from keepwell.domain import BOOSTING, BOOSTING_SPACE, FOREST, LOGISTIC, LOGISTIC_SPACE, TIER_ORDER
 from keepwell.operators.cleaning import typed_accounts
 from keepwell.operators.evaluation import roc_auc
-from keepwell.plans import explaining, forests, preprocessing, scoring, training, views
+from keepwell.plans import boosted, explaining, forests, preprocessing, scoring, training, views
 from keepwell.session import new_path
 from keepwell.sources.champion import load_champion
 from keepwell.streaming.ingest import stream_scores
@@ -471,3 +472,67 @@ def test_champion_reads_the_deep_forests_of_its_search(spark, accounts, monkeypa
     assert len(fitted) == SETTINGS.folds + 1  # and not two a fold
     assert oof.count() == training.training_rows(training.prepare(accounts, SETTINGS)).count()
     assert champion.cv_roc_auc == pytest.approx(sum(r["roc_auc"] for r in roc_auc(oof, ("fold",)).collect()) / SETTINGS.folds)
+
+
+def test_binned_boosting_is_sparks(spark, monkeypatch):
+    """Without draws both must be the same, whether one task grows all trees or each level is a scan."""
+    chance = np.random.RandomState(3)
+    x = chance.randint(0, [2, 29, 23, 1, 7], (3000, 5)).astype(float)
+    rows = [(float(v[0] * 8 + v[1] - v[2] * v[4] / 4 > 9 * chance.randn()), v.tolist()) for v in x]
+    table = spark.createDataFrame(rows, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
+    scores = lambda model: [r.probability[1] for r in model.transform(table).select("probability").collect()]
+    for depth, leaf in ((3, 1), (5, 60)):
+        own = training.boosting(10, 0.1, depth, leaf)
+        theirs = own.fit(table)
+        for limit in (10**6, 10):
+            monkeypatch.setattr(boosted, "LOCAL_ROWS", limit)
+            mine = boosted.BinnedBoosting(own).fit(table)
+            assert (mine.totalNumNodes, mine.treeWeights) == (theirs.totalNumNodes, theirs.treeWeights)
+            assert (mine.getMaxIter(), mine.getMaxDepth(), mine.getMinInstancesPerNode()) == (10, depth, leaf)
+            assert scores(mine) == pytest.approx(scores(theirs))
+            assert mine.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray())
+
+
+def test_binned_boosting_draws_by_row_number(spark, monkeypatch):
+    chance = np.random.RandomState(5)
+    rows = [(float(v[0] + v[1] * v[2] > chance.randn() / 2), v.tolist()) for v in chance.randn(3000, 4)]
+    table = spark.createDataFrame(rows, "label double, x array<double>").select("label", array_to_vector("x").alias("features")).repartition(5).persist()
+    own = training.boosting(20, 0.2, 3, 4, 0.7)
+    areas, told = [], []
+    for limit in (10**6, 10):
+        monkeypatch.setattr(boosted, "LOCAL_ROWS", limit)
+        model = boosted.BinnedBoosting(own).fit(table)
+        areas.append(roc_auc(training._probability(model, table).select("label", "probability")).first()["roc_auc"])
+        told.append(model.featureImportances.toArray())
+    areas.append(roc_auc(training._probability(own.fit(table), table).select("label", "probability")).first()["roc_auc"])
+    assert areas[0] == pytest.approx(areas[1], abs=1e-9) and told[0] == pytest.approx(told[1])
+    assert areas[0] == pytest.approx(areas[2], abs=0.02)
+
+
+def test_large_boosted_models_are_not_sparks():
+    drawn = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "min_samples_leaf": 1, "subsample": 0.7}
+    settings = training.quick_settings()
+    assert isinstance(training.tuned(BOOSTING, drawn, settings, 100), boosted.BinnedBoosting)
+    assert isinstance(training.tuned(BOOSTING, drawn | {"n_estimators": 5}, settings, 10**6), boosted.BinnedBoosting)
+    assert not isinstance(training.tuned(BOOSTING, drawn | {"n_estimators": 5}, settings, 100), boosted.BinnedBoosting)
+    assert isinstance(training.candidates(training.TrainingSettings(), 100)[BOOSTING], boosted.BinnedBoosting)
+
+
+def test_searches_of_the_queries_are_whole(spark, monkeypatch):
+    """Five folds, and all draws out of the published spaces."""
+    asked = []
+    monkeypatch.setattr(learn, "uploaded", lambda *_: None)
+    monkeypatch.setattr(training, "prepare", lambda accounts, settings: None)
+    monkeypatch.setattr(training, "tuning_summary", lambda spark, results: None)
+    monkeypatch.setattr(training, "random_search", lambda frame, settings, kinds=None, spaces=None, *_: asked.append((settings, kinds, spaces)))
+    monkeypatch.setattr(training, "train_champion", lambda accounts, settings, path, kinds=None, spaces=None, *_: asked.append((settings, kinds, spaces)))
+    monkeypatch.setattr(learn, "load_champion", lambda *_: None)
+    monkeypatch.setattr(learn, "measured", lambda *_: None)
+    learn.i16(spark, "no folder")
+    learn.i17_boosted(spark, "no folder")
+    whole = training.TrainingSettings()
+    for settings, kinds, spaces in asked:
+        assert training.replace(settings, fold_parallelism=whole.fold_parallelism) == whole and spaces is None
+    assert [list(kinds or whole.draws) for _, kinds, _ in asked] == [[LOGISTIC, FOREST, BOOSTING], [BOOSTING]]
+    drawn = training.draw_all(asked[0][0], asked[0][1], asked[0][2])
+    assert len(drawn) == 58 and all(d["n_estimators"] >= 100 for kind, d in drawn.values() if kind != LOGISTIC)
