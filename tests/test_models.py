@@ -536,3 +536,33 @@ def test_searches_of_the_queries_are_whole(spark, monkeypatch):
     assert [list(kinds or whole.draws) for _, kinds, _ in asked] == [[LOGISTIC, FOREST, BOOSTING], [BOOSTING]]
     drawn = training.draw_all(asked[0][0], asked[0][1], asked[0][2])
     assert len(drawn) == 58 and all(d["n_estimators"] >= 100 for kind, d in drawn.values() if kind != LOGISTIC)
+
+
+def test_deep_forest_is_not_loaded_by_the_driver(spark, accounts, monkeypatch):
+    """Fitted, scored, saved, loaded and explained from its files, in groups of trees; as Spark's model of the same files scores."""
+    monkeypatch.setattr(training, "DEEP_ROWS", 100)
+    real = forests.RandomForestClassificationModel
+    monkeypatch.setattr(forests, "RandomForestClassificationModel", None)
+    space = {"n_estimators": [4], "max_depth": [None], "min_samples_leaf": [1], "max_features": ["sqrt"]}
+    path = new_path(spark, "deep")
+    champion, oof, _ = training.train_champion(accounts, SETTINGS, path, [FOREST], {FOREST: space})
+    loaded = load_champion(spark, path)
+    forest = explaining.classifier_of(loaded.pipeline)
+    assert isinstance(forest, forests.StoredForest) and (forest.getNumTrees, loaded.threshold) == (4, champion.threshold)
+
+    def scores(pipeline):
+        scored = pipeline.transform(typed_accounts(accounts)).select("customerID", "rawPrediction", "probability", "prediction")
+        return {r[0]: (*r[1], *r[2], r[3]) for r in scored.collect()}
+
+    first = scores(loaded.pipeline)
+    assert scores(champion.pipeline) == first
+    monkeypatch.setattr(forests, "GROUP_BYTES", 1)
+    monkeypatch.setattr(forests, "TASK_BYTES", 1)
+    assert len(forest.groups(1)) == 4 and len(forest.groups(10**9)) == 1
+    grouped = scores(loaded.pipeline)
+    theirs = scores(PipelineModel(stages=[*preprocessing.flat_stages(loaded.pipeline)[:-1], real.load(forest.path)]))
+    for found in (grouped, theirs):
+        assert found.keys() == first.keys() and [*found.values()] == [pytest.approx(first[k]) for k in found]
+    assert forest.featureImportances.toArray() == pytest.approx(real.load(forest.path).featureImportances.toArray())
+    explained = explaining.explain(accounts, loaded.pipeline).groupBy("customerID").agg((F.sum("shap") + F.max("base")).alias("p"))
+    assert {r[0]: r[1] for r in explained.collect()} == pytest.approx({k: v[3] for k, v in first.items()})
