@@ -566,3 +566,9 @@ def test_deep_forest_is_not_loaded_by_the_driver(spark, accounts, monkeypatch):
     assert forest.featureImportances.toArray() == pytest.approx(real.load(forest.path).featureImportances.toArray())
     explained = explaining.explain(accounts, loaded.pipeline).groupBy("customerID").agg((F.sum("shap") + F.max("base")).alias("p"))
     assert {r[0]: r[1] for r in explained.collect()} == pytest.approx({k: v[3] for k, v in first.items()})
+
+
+def test_deep_forests_of_many_trees_are_not_on_the_driver():
+    assert isinstance(training.forest(500, None, rows=10_000), forests.DeepForest)
+    assert not isinstance(training.forest(10, None, rows=10_000), forests.DeepForest)
+    assert not isinstance(training.forest(500, 8, rows=10_000), forests.DeepForest)
